@@ -38,8 +38,12 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def mix_sql(key: str, seed: int = 42) -> str:
     """``kindred.functions.hashing.mix`` in SQL."""
-    state = f"((({key}) % 2147483647) * 1103515245 + {12345 + seed}) % 2147483648"
-    return f"((({state}) >> 16) * 65539 + ({state})) % 2147483648"
+
+    def step(state: str) -> str:
+        return f"(({state}) * 1103515245 + 12345) % 2147483648"
+
+    first = step(f"({key}) % 2147483647 + {seed * 7919}")
+    return step(f"xor(({first}) >> 15, {first})")
 
 
 def term_ctes(source: str, id_col: str, text: str, max_features: int, prefix: str = "") -> str:

@@ -197,7 +197,7 @@ def recs_by_user(spark: SparkSession, folder: str) -> DataFrame:
     best = (
         purchases(spark, folder)
         .groupBy("user_key")
-        .agg(F.max_by("item_id", F.struct("rating", -F.col("row_id"))).alias("item_id"))
+        .agg(F.max_by("item_id", F.struct("rating", -F.col("row_id"), -F.col("item_id"))).alias("item_id"))
     )
     names = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("user_key"), F.col("c_name").alias("UserName")
@@ -222,7 +222,7 @@ WITH {PURCHASES_SQL},
 best AS (
   SELECT user_key, item_id FROM (
     SELECT user_key, item_id,
-           row_number() OVER (PARTITION BY user_key ORDER BY rating DESC, row_id) AS n
+           row_number() OVER (PARTITION BY user_key ORDER BY rating DESC, row_id, item_id) AS n
     FROM purchases) WHERE n = 1
 )
 SELECT c_name AS UserName, a.p_name AS RecommendedHotel, b.p_partkey AS item_id

@@ -9,27 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One step of a linear congruential generator modulo 2**31.
+# A linear congruential generator modulo 2**31.
 MULTIPLIER = 1103515245
 INCREMENT = 12345
 MODULUS = 2147483648
 
 
+def _step(state: Column) -> Column:
+    return F.pmod(
+        state * F.lit(MULTIPLIER).cast("bigint") + F.lit(INCREMENT).cast("bigint"),
+        F.lit(MODULUS).cast("bigint"),
+    )
+
+
 def mix(key: Column, seed: int = 42) -> Column:
     """An integer in [0, 2**31) for an integer key.
 
-    A key of another type is passed as ``mix(F.xxhash64(key))``.
+    Two steps of the generator with the high bits folded into the low ones in
+    between. A key of another type is passed as ``mix(F.xxhash64(key))``.
     """
-    low = F.pmod(key.cast("bigint"), F.lit(2147483647).cast("bigint"))
-    state = F.pmod(
-        low * F.lit(MULTIPLIER).cast("bigint") + F.lit(INCREMENT + seed),
-        F.lit(MODULUS).cast("bigint"),
-    )
-    # the low bits of such a generator have short periods, so fold in the high ones
-    return F.pmod(
-        F.shiftright(state, 16) * F.lit(65539).cast("bigint") + state,
-        F.lit(MODULUS).cast("bigint"),
-    )
+    start = F.pmod(key.cast("bigint"), F.lit(2147483647).cast("bigint"))
+    first = _step(start + F.lit(seed * 7919).cast("bigint"))
+    return _step(F.shiftright(first, 15).bitwiseXOR(first))
 
 
 def unit(key: Column, seed: int = 42) -> Column:

@@ -16,6 +16,11 @@ MIN_COUNT = 2
 EPOCHS = 30
 
 
+# Training keeps a table of all words in every task and on the driver.
+MOST_WORDS = 5_000_000
+MOST_PARTITIONS = 64
+
+
 def fit_embedding(
     texts: DataFrame,
     text_col: str,
@@ -24,15 +29,31 @@ def fit_embedding(
     window: int = WINDOW,
     min_count: int = MIN_COUNT,
     epochs: int = EPOCHS,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> Word2VecModel:
     """Word vectors over the whitespace tokens of the texts.
 
     ``partitions`` tasks train side by side and are averaged after every epoch. The
-    word table is held by every task, so raise ``min_count`` on a very large corpus.
+    number of words is checked before: it does not grow without limit, so a corpus
+    with too many distinct words is refused and needs a higher ``min_count``.
     """
     tokens = texts.select(split_tokens(F.col(text_col)).alias("tokens"))
+    n_words = (
+        tokens.select(F.explode("tokens").alias("word"))
+        .groupBy("word")
+        .count()
+        .filter(F.col("count") >= min_count)
+        .count()
+    )
+    if n_words > MOST_WORDS:
+        raise ValueError(
+            f"{n_words} words occur {min_count} times or more; raise min_count until "
+            f"there are at most {MOST_WORDS}"
+        )
+    if partitions is None:
+        cores = texts.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(cores, MOST_PARTITIONS))
     return Word2Vec(
         vectorSize=vector_size,
         windowSize=window,

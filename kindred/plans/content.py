@@ -100,9 +100,9 @@ def index_corpus(
     said = clean_full(
         feedback, feedback_text, dictionaries, id_col=feedback_id, null_text=null_text
     )
-    counts = segment_counts(
-        corpus_segments(own, said, key, item_text, feedback_text, order_col), key
-    )
+    # cleaning is the costly part and the counts are read several times
+    segments = cut(corpus_segments(own, said, key, item_text, feedback_text, order_col))
+    counts = segment_counts(segments, key)
     ids = items.select(F.col(key).alias("item_id"))
     return _index(counts, ids, max_features, min_df)
 
