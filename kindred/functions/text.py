@@ -25,13 +25,16 @@ EMAIL = rf"(?<![{WORD}.-])[{WORD}.-]++@[{WORD}.-]+"
 DIGITS = r"\p{Nd}+"
 NOT_WORD_NOT_SPACE = rf"(?U)[^{WORD}\s\x1c-\x1f]"
 NOT_WORD_RUN = rf"[^{WORD}]+"
-NOT_WORD_OR_DIGIT_RUN = rf"(?:[^{WORD}]|\p{{Nd}})+"
-
-# Code points which are certainly in composed form and cannot take part in a
-# composition with a neighbour of the same set.
-ALREADY_COMPOSED = (
-    r"\x{0}-\x{2ff}\x{1ea0}-\x{1ef9}\x{2010}-\x{2027}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
+NOT_LETTER_RUN = r"[^\p{L}\p{Nl}\p{No}_]+"
+
+# Below U+0300 every character is composed already, and so are those of the listed
+# blocks (Vietnamese, dashes and quotes, ideographs, Korean syllables). A text of these
+# alone is its own NFC. Written as a range and a look back, since one class of many
+# ranges is several times slower to search for.
+COMPOSED_ABOVE = (
+    r"\x{1ea0}-\x{1ef9}\x{2010}-\x{2027}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}"
 )
+MAY_COMPOSE = rf"[\x{{300}}-\x{{10ffff}}](?<![{COMPOSED_ABOVE}])"
 
 
 @F.pandas_udf(T.StringType())
@@ -43,8 +46,7 @@ def _compose(texts: pd.Series) -> pd.Series:
 
 def compose_unicode(text: Column) -> Column:
     """NFC. Only text with a character that could change travels to Python."""
-    may_change = text.rlike(f"[^{ALREADY_COMPOSED}]")
-    return F.coalesce(_compose(F.when(may_change, text)), text)
+    return F.coalesce(_compose(F.when(text.rlike(MAY_COMPOSE), text)), text)
 
 
 def as_text(value: Column, null_text: str = "") -> Column:
@@ -56,12 +58,19 @@ def fold_case(text: Column) -> Column:
     return F.lower(text)
 
 
+def _where(has: Column, changed: Column, text: Column) -> Column:
+    """Run a pattern only over text that holds what it looks for."""
+    return F.when(has, changed).otherwise(text)
+
+
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, " ")
+    has = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www"))
+    return _where(has, F.regexp_replace(text, URL, " "), text)
 
 
 def strip_emails(text: Column) -> Column:
-    return F.regexp_replace(text, EMAIL, " ")
+    has = F.contains(text, F.lit("@"))
+    return _where(has, F.regexp_replace(text, EMAIL, " "), text)
 
 
 def strip_digits(text: Column) -> Column:
@@ -89,11 +98,10 @@ def clean_basic(text: Column) -> Column:
     """URLs, e-mails, digits and punctuation out, one space between words.
 
     The last three steps all turn characters into a space and then collapse, so one
-    pass over the text does them together.
+    pass over the text does them together: what stays is a word character that is no
+    decimal digit.
     """
-    return F.trim(
-        F.regexp_replace(strip_emails(strip_urls(text)), NOT_WORD_OR_DIGIT_RUN, " ")
-    )
+    return F.trim(F.regexp_replace(strip_emails(strip_urls(text)), NOT_LETTER_RUN, " "))
 
 
 def clean_simple(text: Column, null_text: str = "") -> Column:

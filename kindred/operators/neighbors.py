@@ -30,6 +30,7 @@ SMALLEST_ITEM_BLOCK = 256
 LARGEST_ITEM_BLOCK = 16_384
 SCORES_PER_TASK = 8_000_000
 ENTRIES_PER_BLOCK = 4_000_000
+TASKS_PER_CORE = 4
 
 Scores = Iterator[np.ndarray]
 
@@ -129,8 +130,8 @@ def _plan_blocks(
     item_blocks = max(
         1, math.ceil(n_items / rows), math.ceil(n_entries / ENTRIES_PER_BLOCK)
     )
-    # small inputs are split further, to keep all cores of the session busy
-    wanted = math.ceil(parallelism / seed_blocks)
+    # small inputs are split further, into several tasks for each core
+    wanted = math.ceil(TASKS_PER_CORE * parallelism / seed_blocks)
     item_blocks = max(
         item_blocks, min(wanted, math.ceil(n_items / SMALLEST_ITEM_BLOCK))
     )
