@@ -31,6 +31,7 @@ LARGEST_ITEM_BLOCK = 16_384
 SCORES_PER_TASK = 8_000_000
 ENTRIES_PER_BLOCK = 4_000_000
 TASKS_PER_CORE = 4
+MOST_COMMON_TERMS = 2048
 
 Scores = Iterator[np.ndarray]
 
@@ -40,28 +41,53 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _sparse_scores(seeds: pa.Table, items: pa.Table) -> Scores:
-    """Per seed the dot products with all items of the block."""
+    """Per seed the dot products with all items of the block.
+
+    Terms that many items of the block share are multiplied as dense matrices, all
+    others entry by entry.
+    """
     lengths = pc.list_value_length(items["idx"]).to_numpy()
     item_idx, item_weight = _flat(items["idx"]), _flat(items["weight"])
     by_term = np.argsort(item_idx, kind="stable")
     owner = np.repeat(np.arange(items.num_rows), lengths)[by_term]
     item_weight = item_weight[by_term]
-    terms, first = np.unique(item_idx[by_term], return_index=True)
-    count = np.diff(np.append(first, item_idx.size))
+    terms, first, count = np.unique(
+        item_idx[by_term], return_index=True, return_counts=True
+    )
 
     bounds = np.append(0, np.cumsum(pc.list_value_length(seeds["idx"]).to_numpy()))
-    seed_idx, seed_weight = _flat(seeds["idx"]), _flat(seeds["weight"])
-    for begin, end in zip(bounds[:-1], bounds[1:]):
-        place = np.searchsorted(terms, seed_idx[begin:end])
-        shared = place < terms.size
-        shared[shared] = terms[place[shared]] == seed_idx[begin:end][shared]
-        place = place[shared]
-        runs = count[place]
+    seed_weight, seed_idx = _flat(seeds["weight"]), _flat(seeds["idx"])
+    seed_owner = np.repeat(np.arange(seeds.num_rows), np.diff(bounds))
+    place = np.searchsorted(terms, seed_idx)
+    known = place < terms.size
+    known[known] = terms[place[known]] == seed_idx[known]
+
+    shared_by_many = np.flatnonzero(count > items.num_rows / 8)
+    common = shared_by_many[np.argsort(-count[shared_by_many])][:MOST_COMMON_TERMS]
+    column = np.full(terms.size, -1)
+    column[common] = np.arange(common.size)
+
+    def dense(rows: np.ndarray, where: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        table = np.zeros((n, common.size))
+        is_common = column[where] >= 0
+        table[rows[is_common], column[where[is_common]]] = weight[is_common]
+        return table
+
+    base = (
+        dense(seed_owner[known], place[known], seed_weight[known], seeds.num_rows)
+        @ dense(owner, np.repeat(np.arange(terms.size), count), item_weight, items.num_rows).T
+    )
+    rare = known.copy()
+    rare[known] = column[place[known]] < 0
+    for row, (begin, end) in enumerate(zip(bounds[:-1], bounds[1:])):
+        mine = rare[begin:end]
+        at_term = place[begin:end][mine]
+        runs = count[at_term]
         # positions of all entries of the shared terms, term after term
-        skip = first[place] - (np.cumsum(runs) - runs)
+        skip = first[at_term] - (np.cumsum(runs) - runs)
         at = np.arange(runs.sum()) + np.repeat(skip, runs)
-        product = item_weight[at] * np.repeat(seed_weight[begin:end][shared], runs)
-        yield np.bincount(owner[at], weights=product, minlength=items.num_rows)
+        product = item_weight[at] * np.repeat(seed_weight[begin:end][mine], runs)
+        yield base[row] + np.bincount(owner[at], product, minlength=items.num_rows)
 
 
 def _unit_rows(table: pa.Table) -> np.ndarray:
