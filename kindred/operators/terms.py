@@ -96,11 +96,31 @@ def vocabulary(
     counts: DataFrame, max_features: int, min_df: int = MIN_DOCUMENTS
 ) -> DataFrame:
     """``(term, df, ctf)``: the terms in at least ``min_df`` items, the most frequent
-    ``max_features`` of them by corpus count, ties by term."""
-    return (
+    ``max_features`` of them by corpus count, ties by term.
+
+    The corpus count at the cut is found first, from how many terms have each count.
+    Only terms at or above it are sorted, instead of the best ``max_features`` of every
+    task.
+    """
+    stats = (
         counts.groupBy("term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
         .filter(F.col("df") >= min_df)
+    )
+    # one row per distinct count, far fewer than terms
+    reached = F.sum("n").over(
+        Window.orderBy(F.desc("ctf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    lowest = (
+        stats.groupBy("ctf")
+        .agg(F.count("*").alias("n"))
+        .select("ctf", reached.alias("reached"))
+        .filter(F.col("reached") >= max_features)
+        .agg(F.max("ctf"))
+        .scalar()
+    )
+    return (
+        stats.filter(F.col("ctf") >= F.coalesce(lowest, F.lit(0)))
         .orderBy(F.desc("ctf"), F.asc("term"))
         .limit(max_features)
     )
