@@ -26,6 +26,7 @@ from kindred.operators.relevance import (
 )
 from kindred.operators.terms import FULL_CORPUS_FEATURES
 from kindred.plans.content import Judgement, evaluate_content, index_texts, judge_by_users
+from kindred.session import cut
 
 QUERIES = {}
 SQL = {}
@@ -40,9 +41,8 @@ def _judgement(spark: SparkSession, folder: str) -> Judgement:
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation_candidates(
-        distinct_pairs(purchases(spark, folder)), _items(spark, folder)
-    )
+    pairs = cut(distinct_pairs(purchases(spark, folder)))
+    return evaluation_candidates(pairs, _items(spark, folder))
 
 
 _CANDIDATES_SQL = f"""
