@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,18 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which all machines can reach.
 
-    Where the cluster names none (tests, a laptop) a new temporary folder is set
-    for this application, so that ``checkpoint()`` works in both cases.
+    Where none is named, a local master (tests, a laptop) gets a new temporary folder.
+    A cluster is refused: its machines do not see each other's temporary folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not configured and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(
+                "spark.checkpoint.dir must name a folder that all machines share"
+            )
         spark.sparkContext.setCheckpointDir(
             configured or tempfile.mkdtemp(prefix="kindred-checkpoint-")
         )
@@ -46,19 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage once and go on from the files.
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder once and go on from the files.
 
     Used where one result feeds several later steps, or where a later step must
-    see exactly the rows an earlier one saw even after an executor is lost.
+    see exactly the rows an earlier one saw even after an executor is lost. Later
+    reads take only the columns and row groups they need.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, for tables that are written and read back."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, in one sub-folder per application.
+
+    The sub-folder may be deleted when the application has ended.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def spread_if_small(df: DataFrame, key: str) -> DataFrame:
