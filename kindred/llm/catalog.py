@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import toxicity
+from kindred.llm import decontamination, line_dedup, toxicity
 from kindred.llm.words import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,22 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents overlap which benchmark items; clean documents have no row."""
+    return decontamination.overlaps(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with later repeated runs deleted."""
+    cleaned = line_dedup.remove(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "removed_words", "removed_spans", "n_chars", "text")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": op3_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
