@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, line_dedup, toxicity
+from kindred.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
 from kindred.llm.words import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,28 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "removed_words", "removed_spans", "n_chars", "text")
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact class and near-duplicate group of every document."""
+    return near_dedup.groups(table(spark, folder, "documents"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        "copies",
+        "source",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_decontamination": op3_decontamination,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_mixing": op6_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
