@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Well distributed 64-bit values, one for each of ``x``."""
-    x = x + np.uint64(seed % (1 << 64)) * MULTIPLIER
+    x = x + np.uint64(seed * int(MULTIPLIER) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * MIX_A
     x = (x ^ (x >> np.uint64(27))) * MIX_B
     return x ^ (x >> np.uint64(31))
