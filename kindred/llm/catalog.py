@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
+from kindred.llm import (
+    decontamination,
+    knn_join,
+    line_dedup,
+    mixing,
+    near_dedup,
+    ppm,
+    toxicity,
+)
 from kindred.llm.words import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +40,48 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text under a model of those outside fold 1."""
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id")) == 1
+    scored = ppm.scores(docs, ~held_out, chunk=ppm.file_chunk())
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+def op2_knn_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    vectors = knn_join.whole_numbers(table(spark, folder, "embeddings"))
+    return knn_join.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents overlap which benchmark items; clean documents have no row."""
     return decontamination.overlaps(
@@ -64,6 +114,8 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_knn_join": op2_knn_join,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op6_mixing": op6_mixing,
@@ -71,4 +123,6 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_knn_join": OP2_SQL,
+}
