@@ -335,11 +335,11 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, similarity: flo
     own = sizes.select(
         F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
     )
-    wanted = dealt.union(own)
+    wanted = cut(dealt.union(own), "wanted")  # its size decides how it is joined
     rows = (
         narrowed(docs)
         .where("doc_id IS NOT NULL")
-        .join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"))
+        .join(wanted, F.col("doc_id") == F.col("id"))
         .select("hub", "share", "id", (F.col("id") != F.col("hub")).alias("member"), "text")
         .repartition("hub", "share")
         .sortWithinPartitions("hub", "share", "member", "id")
