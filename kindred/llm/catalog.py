@@ -15,6 +15,7 @@ from kindred.llm import (
     near_dedup,
     ppm,
     toxicity,
+    url_filter,
 )
 from kindred.llm.words import fold
 
@@ -100,6 +101,14 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.groups(table(spark, folder, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's verdict; a page is good if the row of its id in labels has quality 1."""
+    outcomes = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), F.col("quality").alias("good")
+    )
+    return url_filter.judge(table(spark, folder, "pages"), outcomes)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mixing.mix(table(spark, folder, "documents")).select(
@@ -118,6 +127,7 @@ QUERIES: dict[str, Query] = {
     "op2_knn_join": op2_knn_join,
     "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op10_toxicity": op10_toxicity,
@@ -125,4 +135,5 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op2_knn_join": OP2_SQL,
+    "op5_url_filter": url_filter.sql(),
 }
