@@ -13,6 +13,7 @@ from kindred.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    pii,
     ppm,
     toxicity,
     url_filter,
@@ -90,6 +91,18 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every text: counts and hash of strict spans, and all spans."""
+    found = pii.find(table(spark, folder, "documents"))
+    counts = [
+        F.regexp_count("base_spans", F.lit(f"{k}:")).cast("bigint").alias(f"n_{k}")
+        for k in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with later repeated runs deleted."""
     cleaned = line_dedup.remove(table(spark, folder, "documents"))
@@ -129,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
