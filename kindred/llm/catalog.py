@@ -15,6 +15,7 @@ from kindred.llm import (
     near_dedup,
     pii,
     ppm,
+    secrets,
     toxicity,
     url_filter,
 )
@@ -33,6 +34,19 @@ def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
     return labels.where(fold(F.col("doc_id")) != 0).select("doc_id", F.col("toxic").alias("label"))
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate of a secret in all texts; the values themselves are hashed."""
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "start",
+        "end",
+        F.sha2("value", 256).alias("value_sha256"),
+        F.round("probability", 6).alias("probability"),
+        "is_secret",
+    )
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(toxicity.labelled_sample(docs, toxic_labels(spark, folder)))
@@ -144,6 +158,7 @@ QUERIES: dict[str, Query] = {
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
