@@ -48,6 +48,9 @@ START, END = 0xFE, 0xFF
 END_WORD = np.uint64(0xE0D)
 ALPHABET = 256
 
+#: Bytes of text that are worked on at once, with some ten numbers for each byte.
+AT_ONCE = 500_000
+
 GRAM, WORD_KIND = 0, 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,7 +100,7 @@ class _Tally:
     """Distinct keys of a chunk with their counts in training texts."""
 
     #: Keys that are kept apart before they are summed up.
-    PENDING = 4_000_000
+    PENDING = 1_000_000
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
@@ -160,7 +163,7 @@ def tallied(docs: DataFrame) -> DataFrame:
                     open_chunk, tallies = chunk, (_Tally(), _Tally())
                 for learned in (True, False):
                     mine = [own[i] for i in np.flatnonzero((chunks == chunk) & (train == learned))]
-                    for part in blocks(mine):
+                    for part in blocks(mine, AT_ONCE):
                         tallies[GRAM].add(grams(mine[part])[0], learned)
                         found = tokens(mine[part], LOWERED)
                         tallies[WORD_KIND].add(_with_ends(found.hashes, found.counts)[0], learned)
@@ -329,9 +332,9 @@ def scores(
             _Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD_KIND)
         )
         parts = []
-        for batch in own.to_batches(max_chunksize=4096):
+        for batch in own.to_batches(max_chunksize=1024):
             all_texts = texts(batch)
-            for part in blocks(all_texts):
+            for part in blocks(all_texts, AT_ONCE):
                 mine = all_texts[part]
                 codes, many = grams(mine)
                 score = np.add.reduceat(grams_known.of_grams(codes), np.cumsum(many) - many)
@@ -352,6 +355,7 @@ def scores(
                     )
                 )
         empty = pa.schema([(n, pa.float64() if "score" in n else pa.int64()) for n in names])
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(parts, empty)
 
     schema = (
