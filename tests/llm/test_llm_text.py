@@ -1,0 +1,261 @@
+"""Word hashing, scoring and classifying operators, against plain Python."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from kindred.llm import pii, ppm, secrets, toxicity
+from kindred.llm.words import EXACT, fold, grouped_runs, long_runs, tokens
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = " ".join(f"w{i % 977}" for i in range(60_000))
+
+
+def documents(spark, rows):
+    """Rows of (doc_id, text) or (doc_id, text, source) as documents."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or "")) for r in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+EDGES = [(1, None), (2, ""), (None, "no id here"), (3, "x"), (4, LONG), (5, "twice"), (5, "twice"), (6, " \n\t ")]
+
+
+def clashing(df):
+    """Extra columns whose names the operators use themselves."""
+    for name in ("score", "label", "chunk", "slots", "hash", "size", "group", "k"):
+        df = df.withColumn(name, F.lit(1))
+    return df
+
+
+def test_words_and_prefixes():
+    found = tokens([b'Foo, bar\n"FOO" --', None, b"", "\xa0Foo".encode()], prefixes=(2,))
+    assert found.counts.tolist() == [4, 0, 0, 1]
+    assert found.hashes[0] == found.hashes[2] != found.hashes[1] and found.hashes[3] == 0
+    assert found.prefixes[0][0] == found.prefixes[0][2] != 0
+    assert [(int(a), int(b)) for a, b in zip(found.starts, found.ends)][:2] == [(0, 4), (5, 8)]
+    raw = tokens([b"Foo foo Foo"], EXACT).hashes
+    assert raw[0] == raw[2] != raw[1]
+
+
+@given(st.lists(st.text(max_size=30), max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_words_split_as_bytes_do(batch):
+    found = tokens([t.encode("utf-8", "replace") for t in batch], EXACT)
+    words = [w for t in batch for w in t.encode("utf-8", "replace").split()]
+    assert found.counts.sum() == len(words)
+    by_hash = collections.defaultdict(set)
+    for h, w in zip(found.hashes.tolist(), words):
+        by_hash[h].add(w)
+    assert all(len(v) == 1 for v in by_hash.values()) and len(by_hash) == len(set(words))
+
+
+def test_run_hashes_depend_on_content_only():
+    values = np.arange(1, 200, dtype=np.uint64)
+    twice = np.concatenate([values, values])
+    runs = long_runs(twice, 26)
+    assert (runs[:170] == runs[199:369]).all() and len(set(runs[:199].tolist())) == 199
+    shingles, counts = grouped_runs(values[:7], np.array([3, 0, 4]), 5)
+    assert counts.tolist() == [1, 0, 1] and len(shingles) == 2
+
+
+def toxic_rows(n):
+    rng = random.Random(3)
+    calm = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(calm) for _ in range(rng.randint(5, 80))]
+        bad = i % 5 == 0
+        if bad:
+            words.insert(rng.randrange(len(words)), rng.choice(["nastyword", "vileword"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = toxic_rows(600)
+    docs = documents(spark, rows)
+    given_labels = spark.createDataFrame(labels, "doc_id bigint, label int")
+    model = toxicity.fit(
+        toxicity.labelled_sample(docs, given_labels.where(fold(F.col("doc_id")) != 0))
+    )
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum(got[i].predicted == labels[i][1] for i in held)
+    assert right / len(held) > 0.95 and len(model.slots) < 5_000
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+
+
+def test_toxicity_edges(spark):
+    docs = clashing(documents(spark, EDGES))
+    none = spark.createDataFrame([], "doc_id bigint, label int")
+    model = toxicity.fit(toxicity.labelled_sample(docs, none))
+    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.5}
+    odd = spark.createDataFrame([(1, 1), (2, 0), (4, None), (None, 1), (5, 1), (5, 0)], "doc_id bigint, label int")
+    model = toxicity.fit(toxicity.labelled_sample(docs, odd))
+    scored = toxicity.score(docs, model)
+    assert scored.columns == ["doc_id", "score", "predicted"] and scored.count() == len(EDGES)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def ppm_by_hand(train, texts):
+    order = ppm.ORDER
+
+    def symbols(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        return [ppm.START] * order + list(raw) + [ppm.END]
+
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for text in train:
+        s = symbols(text)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[k][tuple(s[i - k : i])][s[i]] += 1
+    out = []
+    for text in texts:
+        s, total = symbols(text), 0.0
+        for i in range(order, len(s)):
+            excluded = set()
+            for k in range(order, -1, -1):
+                here = {b: c for b, c in seen[k][tuple(s[i - k : i])].items() if b not in excluded}
+                if not here:
+                    continue
+                n = sum(here.values())
+                if s[i] in here:
+                    total += math.log10((here[s[i]] - 0.5) / n)
+                    break
+                total += math.log10(len(here) / 2 / n)
+                excluded |= set(here)
+            else:
+                total -= math.log10(256 - len(excluded))
+        out.append(total)
+    return out
+
+
+def test_ppm_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcÄ \n") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "Never seen: 日本"), (103, rows[0][1])]
+    docs = clashing(documents(spark, rows))
+    train = fold(F.col("doc_id")) != 1
+    got = {r.doc_id: r for r in ppm.scores(docs, train, chunks=5).collect()}
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    expected = ppm_by_hand(learned, [t for _, t in rows])
+    assert len(got) == len(rows)
+    assert max(abs(got[i].score - e) for (i, _), e in zip(rows, expected)) < 1e-8
+
+    def words(text):
+        raw = (text or "").encode().split()
+        return [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in raw] + [None]
+
+    counts = collections.Counter(w for t in learned for w in words(t))
+    n, v = sum(counts.values()), len(counts)
+    for i, text in rows:
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(text))
+        assert abs(got[i].base_score - base) < 1e-9
+        assert got[i].n_tokens == len(words(text)) and got[i].train_tokens == n
+        assert got[i].n_known == sum(counts[w] > 0 for w in words(text))
+
+
+def test_ppm_edges(spark):
+    docs = documents(spark, EDGES)
+    scored = ppm.scores(docs, F.lit(False), chunks=3).collect()
+    assert len(scored) == len(EDGES)
+    for r in scored:
+        if r.doc_id == 2:
+            assert abs(r.score + math.log10(256)) < 1e-9 and r.n_known == 0 and r.train_tokens == 0
+    assert ppm.scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def strict_spans(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(digits) <= 19 and pii.luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+@given(st.text(alphabet="a.@+-% 0123456789()é", max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_strict_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == strict_spans(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["a@b.c+d@e.f", "x@y@z.com", "1.2.3.4.5.6.7.8", "000300.1.1.1 0.0.0.0256", "4111 1111-1111 1111", "+1 (555) 010-9999."],
+)
+def test_strict_spans_of_odd_texts(text):
+    assert pii.base_spans(text) == strict_spans(text)
+
+
+def test_pii_adds_what_strict_patterns_swallow(spark):
+    mail = "write to jo.do@mail.example.com or call +1 (555) 010-9999 now"
+    card = "card 4111111111111111 and"
+    swallowed = "+1 (555) 010-9999 4111111111111111 end"
+    rows = [(i, f"{mail} text {i}") for i in range(40)] + [(100 + i, f"{card} ip 10.1.2.{i}") for i in range(40)]
+    rows += [(500, swallowed), (501, "nothing 2024-01-02 here v1.2.3")] + [(900 + i, t) for i, (_, t) in enumerate(EDGES)]
+    got = {r.doc_id: r for r in pii.find(clashing(documents(spark, rows))).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in strict_spans(text or ""))
+        assert got[i].base_spans == base
+        assert set(base.split(",")) - {""} <= set(got[i].spans.split(","))
+    assert "card:18:34" in got[500].spans and "phone:0:17" in got[500].spans
+    assert got[501].spans == ""
+    assert pii.find(documents(spark, EDGES).limit(0)).count() == 0
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_em_finds_the_reliable_labelers():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.3
+    vote = np.zeros((4000, 6), int)
+    for j, right in enumerate((0.95, 0.9, 0.85, 0.8, 0.6, 0.5)):
+        says = np.where(rng.random(4000) < right, truth, ~truth)
+        vote[:, j] = np.where(says, 1, -1)
+    patterns, inverse, n = np.unique(vote, axis=0, return_inverse=True, return_counts=True)
+    post = pii.estimate(np.zeros(len(n), int), patterns, n.astype(float))[inverse.ravel()]
+    assert ((post > 0.5) == truth).mean() > 0.95
+
+
+def test_secret_scan(spark):
+    hexed = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'some words token = "{hexed[i]}" and more') for i in range(30)]
+    rows += [(100 + i, f"AKIA{hexed[i][:16].upper()} pasted") for i in range(30)]
+    rows += [(200 + i, f"paid with 41111111111111{i:02d} today, commit {hexed[30 + i]} too") for i in range(30)]
+    rows += [(900 + i, t) for i, (_, t) in enumerate(EDGES)]
+    docs = clashing(documents(spark, rows))
+    got = secrets.scan(docs).collect()
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in got)
+    assert {r.doc_id for r in got if r.is_secret} == set(range(30)) | set(range(100, 130))
+    assert sum(r.doc_id >= 200 for r in got) == 60
+    assert secrets.scan(documents(spark, EDGES)).count() == 0
+    assert secrets.scan(documents(spark, EDGES).limit(0)).count() == 0
+
+
+def test_secret_scan_takes_given_labels(spark):
+    rows = [(i, f"abc-def-{i:04d}-ghi-jkl zz 9f8e7d6c5b4a39{i:04d}") for i in range(40)]
+    docs = documents(spark, rows)
+    found = secrets.findings(docs).withColumn("label", F.col("value").startswith("9f").cast("int"))
+    got = secrets.scan(docs, labelled=found).collect()
+    assert len(got) == 80 and all(r.is_secret == r.value.startswith("9f") for r in got)
