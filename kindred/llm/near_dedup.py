@@ -16,10 +16,11 @@ Documents whose texts are equal are one class. Class representatives that agree
 are candidates. Pairs are never listed all against all: in each band bucket, the lowest id
 is compared with every other member, and links are closed to groups. What is left are
 members outside the lowest member's group. Each of them is held against all members of other
-groups of its bucket, inside tasks of at most ``BLOCK`` by ``BLOCK`` members, by the share of
-equal samples; only pairs with ``AGREE`` of them equal become rows, and links are closed once
-more. All links are verified by the exact weighted Jaccard similarity of the shingles,
-``SIMILARITY`` or more.
+groups of its bucket, inside tasks of about ``BLOCK`` by ``BLOCK`` members: first by the share of
+equal samples, then, for members that have a partner with ``AGREE`` of them equal, by their
+texts. A task returns the links that join what it has not joined yet, so fewer rows than it
+has members, and links are closed once more. All links are verified by the exact weighted
+Jaccard similarity of the shingles, ``SIMILARITY`` or more.
 
 Defined cases: null counts as empty; empty texts are copies of each other; a text of one to four
 words has one shingle; rows without an id take no part; repeated rows are one class and
@@ -33,7 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.words import (
@@ -53,11 +55,11 @@ SIMILARITY = 0.8
 IDF_BITS = 18
 PASSES, BINS, ROWS = 16, 8, 6
 BANDS = PASSES * BINS // ROWS
-#: Members of a bucket that are laid side by side in one task.
-BLOCK = 2_000
+#: Members of a bucket that are laid side by side in one task, and shingles of their texts.
+BLOCK, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Share of all samples that must agree before texts are compared: at a similarity of 0.8 this
-#: is more than four standard deviations below the mean.
-AGREE = 0.65
+#: is more than five standard deviations below the mean.
+AGREE = 0.6
 #: Members that are compared with one text in one task.
 SHARE = 256
 
@@ -179,7 +181,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Of every document ``doc_id``, ``text_key`` and ``signature``.
+    """Of every document ``doc_id``, ``text_key``, ``signature`` and ``shingles``, their number.
 
     A signature is the band hashes, then 16 bits of every sample; it is empty for a text
     without any word.
@@ -187,20 +189,27 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = texts(batch), []
+            own, out, many = texts(batch), [], []
             for part in blocks(own):
                 shingles, weights, counts = weighted_shingles(own[part], idf)
+                many += counts.tolist()
                 drawn = samples(shingles, weights, counts)
                 wide, narrow = bands(drawn), (drawn >> np.uint64(48)).astype(np.uint16)
                 out += [
                     w.tobytes() + n.tobytes() if c else b"" for w, n, c in zip(wide, narrow, counts)
                 ]
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "text_key"), pa.array(out, pa.binary())],
-                ["doc_id", "text_key", "signature"],
+                [
+                    column(batch, "doc_id"),
+                    column(batch, "text_key"),
+                    pa.array(out, pa.binary()),
+                    pa.array(many, pa.int64()),
+                ],
+                ["doc_id", "text_key", "signature", "shingles"],
             )
 
-    return _key(docs).mapInArrow(work, "doc_id bigint, text_key binary, signature binary")
+    schema = "doc_id bigint, text_key binary, signature binary, shingles bigint"
+    return _key(docs).mapInArrow(work, schema)
 
 
 def _unpacked(classes: DataFrame) -> DataFrame:
@@ -224,16 +233,48 @@ def _unpacked(classes: DataFrame) -> DataFrame:
     )
 
 
+def _agreeing(
+    own: pa.Table, other: pa.Table
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Of every row of ``own`` its number and those rows of ``other`` that are in another
+    group and agree in enough samples."""
+
+    def drawn(table: pa.Table) -> np.ndarray:
+        raw = b"".join(table["samples"].to_pylist())
+        return np.frombuffer(raw, np.uint16).reshape(-1, PASSES * BINS)
+
+    if not (len(own) and len(other)):
+        return
+    least = int(AGREE * PASSES * BINS)
+    mine, theirs = drawn(own), np.ascontiguousarray(drawn(other).T)
+    home, away = own["group"].to_numpy(), other["group"].to_numpy()
+    for i in range(len(own)):
+        equal = np.zeros(len(other), np.int16)
+        for j in range(PASSES * BINS):
+            equal += theirs[j] == mine[i, j]
+        at = np.flatnonzero((equal >= least) & (away != home[i]))
+        if len(at):
+            yield i, at[np.argsort(-equal[at], kind="stable")]
+
+
 def alike(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (hub, id) of different groups in a bucket that agree in enough samples.
+    """Members of buckets that agree with one of another group in enough samples.
 
     ``placed`` holds ``bucket``, ``id``, ``group`` and ``home``, the group of the bucket's lowest
     member. Every member outside ``home`` is held against every member of another group.
+    Returns ``bucket``, ``o``, ``b`` (the task), ``mine`` (outside ``home``, or its partner),
+    ``id``, ``group`` and ``samples``.
     """
     apart = F.col("group") != F.col("home")
-    sizes = placed.groupBy("bucket").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
-        F.ceil(F.count(F.when(apart, 1)) / BLOCK).cast("int").alias("outer"),
+    sized = placed.join(classes.select("id", "shingles"), "id")
+
+    def parts(rows: Column) -> Column:
+        members = F.count(F.when(rows, 1)) / BLOCK
+        words = F.sum(F.when(rows, F.col("shingles")).otherwise(0)) / BLOCK_SHINGLES
+        return F.ceil(F.greatest(members, words)).cast("int")
+
+    sizes = sized.groupBy("bucket").agg(
+        parts(F.lit(True)).alias("blocks"), parts(apart).alias("outer")
     )
     open_ = (
         placed.join(sizes.where("outer > 0"), "bucket")
@@ -241,42 +282,91 @@ def alike(placed: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("o", F.pmod(F.xxhash64("id"), F.col("outer")).cast("int"))
     )
-    columns = ["id", "group", "samples", "bucket", "o", "b"]
+    columns = ["bucket", "o", "b", "id", "group", "samples"]
     left = open_.where(apart).withColumn(
         "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     right = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)))
-    least = int(AGREE * PASSES * BINS)
 
     def work(own: pa.Table, other: pa.Table) -> pa.Table:
-        def rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            raw = b"".join(table["samples"].to_pylist())
-            return (
-                table["id"].to_numpy(),
-                table["group"].to_numpy(),
-                np.frombuffer(raw, np.uint16).reshape(-1, PASSES * BINS),
-            )
+        other = other.rename_columns(columns)
+        own = own.rename_columns(columns)
+        first, second = [], np.zeros(len(other), bool)
+        for i, at in _agreeing(own, other):
+            first.append(i)
+            second[at] = True
+        kept = [(own.take(pa.array(first, pa.int64())), True), (other.filter(pa.array(second)), False)]
+        return pa.concat_tables(
+            t.append_column("mine", pa.array([side] * len(t), pa.bool_())) for t, side in kept
+        )
 
-        (ids, home, mine), (to, away, theirs) = rows(own), rows(other)
-        theirs = np.ascontiguousarray(theirs.T)
-        out: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        for i in range(len(ids) if len(to) else 0):
-            equal = np.zeros(len(to), np.int16)
-            for j in range(PASSES * BINS):
-                equal += theirs[j] == mine[i, j]
-            at = np.flatnonzero((equal >= least) & (away != home[i]))
-            out.append(np.stack([np.minimum(ids[i], to[at]), np.maximum(ids[i], to[at])]))
-        pairs = np.concatenate(out, axis=1)
-        return pa.table({"hub": pairs[0], "id": pairs[1]})
-
-    key = ["bucket", "o", "b"]
+    key = columns[:3]
     others = right.select(*[F.col(c).alias(f"other_{c}" if c in key else c) for c in columns])
     return (
         left.select(*[F.col(c).alias(f"own_{c}" if c in key else c) for c in columns])
         .groupBy(*[f"own_{c}" for c in key])
         .cogroup(others.groupBy(*[f"other_{c}" for c in key]))
-        .applyInArrow(work, "hub bigint, id bigint")
-        .distinct()
+        .applyInArrow(
+            work,
+            "bucket bigint, o int, b int, id bigint, group bigint, samples binary, mine boolean",
+        )
+    )
+
+
+def joined(docs: DataFrame, members: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links between ``members`` as ``alike`` returns them: ``a``, ``b``, ``similarity``.
+
+    A task holds the texts of its members, in size bounded by ``BLOCK_SHINGLES`` and one text.
+    Pairs that agree in most samples come first; pairs that are joined already through
+    other members are not compared.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        own, other = (table.filter(pa.compute.equal(table["mine"], side)) for side in (True, False))
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        top: dict[int, int] = {}
+        for rows in (own, other):
+            ids, words = rows["id"].to_pylist(), rows["text"].to_pylist()
+            raw = [(w or "").encode() for w in words]
+            for part in blocks(raw):
+                hashes, weights, counts = weighted_shingles(raw[part], idf)
+                ends = np.cumsum(counts)
+                for i, end in enumerate(ends):
+                    mine = slice(end - counts[i], end)
+                    known[ids[part.start + i]] = hashes[mine], weights[mine]
+            top.update(zip(rows["group"].to_pylist(), rows["group"].to_pylist()))
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        out: list[tuple[int, int, float]] = []
+        names, groups_ = other["id"].to_pylist(), other["group"].to_pylist()
+        ids, homes = own["id"].to_pylist(), own["group"].to_pylist()
+        for i, at in _agreeing(own, other):
+            for j in at.tolist():
+                a, b = root(homes[i]), root(groups_[j])
+                if a == b:
+                    continue
+                score = jaccard(known[ids[i]], known[names[j]])
+                if score >= similarity:
+                    top[max(a, b)] = min(a, b)
+                    out.append((max(ids[i], names[j]), min(ids[i], names[j]), score))
+        return pa.table(
+            {
+                "a": pa.array([r[0] for r in out], pa.int64()),
+                "b": pa.array([r[1] for r in out], pa.int64()),
+                "similarity": pa.array([r[2] for r in out], pa.float64()),
+            }
+        )
+
+    return (
+        _texts_of(docs, members)
+        .groupBy("bucket", "o", "b")
+        .applyInArrow(work, "a bigint, b bigint, similarity double")
+        .dropDuplicates(["a", "b"])
     )
 
 
@@ -320,6 +410,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the texts of its ``id``. A merge join at every size."""
+    own = narrowed(docs).where("doc_id IS NOT NULL")
+    return own.hint("merge").join(wanted, F.col("doc_id") == F.col("id")).drop("doc_id")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """Those of ``pairs`` (hub, id) whose texts are similar: ``a``, ``b``, ``similarity``.
 
@@ -335,11 +431,8 @@ def verified(docs: DataFrame, pairs: DataFrame, idf: np.ndarray, similarity: flo
     own = sizes.select(
         F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
     )
-    wanted = cut(dealt.union(own), "wanted")  # its size decides how it is joined
     rows = (
-        narrowed(docs)
-        .where("doc_id IS NOT NULL")
-        .join(wanted, F.col("doc_id") == F.col("id"))
+        _texts_of(docs, dealt.union(own))
         .select("hub", "share", "id", (F.col("id") != F.col("hub")).alias("member"), "text")
         .repartition("hub", "share")
         .sortWithinPartitions("hub", "share", "member", "id")
@@ -396,7 +489,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = cut(signed(docs, idf), "signatures")
     classes = cut(
         rows.groupBy("text_key").agg(
-            F.min("doc_id").alias("id"), F.min("signature").alias("signature")
+            F.min("doc_id").alias("id"),
+            F.min("signature").alias("signature"),
+            F.min("shingles").alias("shingles"),
         ),
         "classes",
     )
@@ -419,9 +514,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ),
         "placed",
     )
-    more = cut(alike(placed, classes).join(pairs, ["hub", "id"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        edges = cut(edges.union(verified(docs, more, idf, similarity)), "edges")
+    members = cut(alike(placed, classes), "members")
+    if not members.isEmpty():
+        edges = cut(edges.union(joined(docs, members, idf, similarity)), "edges")
         reached = cut(components(edges.select("a", "b")), "components")
     degrees = (
         edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
