@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from kindred.functions.labels import default_score, method_label, none_if_missing
 from kindred.functions.schema import (
     ITEM_ALIASES,
+    RULES,
     MissingColumnsError,
+    Rule,
     align_key,
     find_columns,
     join_all_strings,
@@ -74,6 +76,12 @@ def test_role_fall_backs(spark):
     assert resolve_roles(empty(spark, "a"), empty(spark, "Hotel_ID")).feedback_item == "Hotel_ID"
 
 
+def test_own_role_rules(spark):
+    rules = RULES | {"user": Rule("feedback", "guest", positions=(0,))}
+    assert resolve_roles(empty(spark, "key"), empty(spark, "x", "Guest"), rules).user == "Guest"
+    assert resolve_roles(empty(spark, "key"), empty(spark, "x", "y"), rules).user == "x"
+
+
 def test_row_text(spark):
     df = spark.createDataFrame([("a", 1, None)], "x string, n int, y string")
     out = df.select(
