@@ -71,16 +71,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
-
-def spread_if_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table over all cores; leave a large one as it was read.
-
-    A file of few row groups keeps few tasks busy, which matters before costly
-    functions. An input larger than one full scan task per core is split well enough
-    by its size, so it is not moved.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    scan_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * cores, key) if size < cores * scan_bytes else df
