@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.labels import method_label
@@ -19,6 +19,8 @@ from kindred.functions.labels import method_label
 CUTOFFS = (5, 10, 20)
 N_RECOMMENDED = 200
 
+NO_METHOD = "method string, seed_id bigint, item_id bigint, rank bigint"
+
 
 def discount(rank: Column) -> Column:
     """What a hit at a rank is worth: ``1 / log2(rank + 1)``."""
@@ -38,8 +40,10 @@ def label_method(similar: DataFrame, method: str) -> DataFrame:
 
 
 def union_methods(frames: Sequence[DataFrame | None]) -> DataFrame:
-    """Stack the methods that exist."""
+    """Stack the methods that exist; no row if none does."""
     present = [f for f in frames if f is not None]
+    if not present:
+        return SparkSession.active().createDataFrame([], NO_METHOD)
     return reduce(lambda a, b: a.unionByName(b), present)
 
 

@@ -116,6 +116,10 @@ def similar_items(
     return similar_by_terms(as_seeds(index.vectors, seeds), index.vectors, k)
 
 
+class NothingToEvaluateError(ValueError):
+    """No item can serve as a seed."""
+
+
 @dataclass(frozen=True)
 class Judgement:
     """The evaluation seeds and what is relevant to each of them."""
@@ -127,10 +131,13 @@ class Judgement:
 def judge_by_users(interactions: DataFrame, items: DataFrame, n_seeds: int) -> Judgement:
     """Sample seeds among the items and find their relevant items by shared users.
 
-    ``interactions(user_key, item_id)``, ``items(item_id)``.
+    ``interactions(user_key, item_id)``, ``items(item_id)``. It is an error if no item
+    shares users with enough others.
     """
     pairs = cut(distinct_pairs(interactions))
     seeds = cut(sample_seeds(evaluation_candidates(pairs, items), n_seeds))
+    if seeds.isEmpty():
+        raise NothingToEvaluateError("no item shares users with enough other items")
     return Judgement(seeds, cut(jaccard_relevance(pairs, seeds)))
 
 

@@ -1,16 +1,20 @@
-import math
 import random
 
 import pytest
 
-from kindred.operators.ranking import evaluate, summarize
+from kindred.operators.ranking import evaluate, summarize, union_methods
 from kindred.operators.relevance import (
     distinct_pairs,
     evaluation_candidates,
     jaccard_relevance,
     sample_seeds,
 )
-from kindred.plans.content import evaluate_content, index_texts, judge_by_users
+from kindred.plans.content import (
+    NothingToEvaluateError,
+    evaluate_content,
+    index_texts,
+    judge_by_users,
+)
 
 
 def visits():
@@ -22,41 +26,33 @@ def visits():
     return rows
 
 
-def users_by_item(rows):
-    out = {}
-    for user, item in rows:
-        if user is not None and item is not None:
-            out.setdefault(item, set()).add(user)
-    return out
+def visits_df(spark):
+    return spark.createDataFrame(visits(), "user_key string, item_id int")
 
 
-def py_relevance(seed, users, topn):
-    mine = users.get(seed, set())
-    found = []
-    for item, theirs in users.items():
-        if item != seed and mine & theirs:
-            found.append((-len(mine & theirs) / len(mine | theirs), item))
-    return [(i, -g) for g, i in sorted(found)[:topn]]
+# Users of items: 1 and 2 have a and b, 3 has a and c, 4 has c, 5 has d.
+FEW = [
+    ("a", 1), ("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 3), ("c", 4), ("d", 5),
+    (None, 5), ("d", None),
+]
 
 
-def visits_df(spark):
-    return spark.createDataFrame(visits(), "user_key string, item_id int")
+def few_df(spark):
+    return spark.createDataFrame(FEW, "user_key string, item_id int")
 
 
-@pytest.mark.parametrize("topn", [3, 1000])
-def test_relevance(spark, topn):
-    users = users_by_item(visits())
-    seeds = [0, 7, 50, 52, 99]
-    got = {}
-    df = jaccard_relevance(
-        distinct_pairs(visits_df(spark)),
-        spark.createDataFrame([(s,) for s in seeds], "seed_id int"),
-        topn,
-    )
-    for r in df.orderBy("seed_id", "rank").collect():
-        got.setdefault(r["seed_id"], []).append((r["item_id"], r["gain"]))
-    expected = {s: py_relevance(s, users, topn) for s in seeds}
-    assert got == {s: rows for s, rows in expected.items() if rows}
+@pytest.mark.parametrize(
+    ("topn", "expected"),
+    [
+        (1, [(1, 2, 1.0), (3, 4, 0.5), (4, 3, 0.5)]),
+        (1000, [(1, 2, 1.0), (1, 3, 1 / 3), (3, 4, 0.5), (3, 1, 1 / 3), (3, 2, 1 / 3), (4, 3, 0.5)]),
+    ],
+)
+def test_relevance(spark, topn, expected):
+    seeds = spark.createDataFrame([(s,) for s in (1, 3, 4, 5, 99)], "seed_id int")
+    found = jaccard_relevance(distinct_pairs(few_df(spark)), seeds, topn)
+    rows = found.orderBy("seed_id", "rank").select("seed_id", "item_id", "gain").collect()
+    assert [tuple(r) for r in rows] == expected
 
 
 def test_relevance_is_symmetric(spark):
@@ -66,15 +62,23 @@ def test_relevance_is_symmetric(spark):
     assert gain and all(gain[b, a] == g and 0 < g <= 1 for (a, b), g in gain.items())
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 30])
-def test_candidates(spark, least):
-    users = users_by_item(visits())
-    known = [*range(20), 50, 51, 52, 53, 77]
-    items = spark.createDataFrame([(i,) for i in known], "item_id int")
-    got = evaluation_candidates(distinct_pairs(visits_df(spark)), items, least)
-    assert sorted(r["item_id"] for r in got.collect()) == [
-        i for i in known if len(py_relevance(i, users, 1000)) >= least
-    ]
+@pytest.mark.parametrize(
+    ("least", "expected"), [(1, [1, 2, 3, 4]), (2, [1, 2, 3]), (3, [3]), (30, [])]
+)
+def test_candidates(spark, least, expected):
+    items = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 77)], "item_id int")
+    got = evaluation_candidates(distinct_pairs(few_df(spark)), items, least)
+    assert sorted(r["item_id"] for r in got.collect()) == expected
+
+
+def test_no_candidate_is_an_error(spark):
+    items = spark.createDataFrame([(77,)], "item_id int")
+    with pytest.raises(NothingToEvaluateError):
+        judge_by_users(few_df(spark), items, 300)
+
+
+def test_no_method_gives_no_row(spark):
+    assert union_methods([None]).count() == 0 and union_methods([]).columns[0] == "method"
 
 
 def test_sample(spark):
@@ -90,64 +94,26 @@ def test_sample(spark):
     assert sample_seeds(named, 10).count() == 10
 
 
-def py_metrics(rec, gains, k):
-    top = rec[:k]
-    hits = score = 0
-    for n, item in enumerate(top, 1):
-        if item in gains:
-            hits += 1
-            score += hits / n
-
-    def dcg(values):
-        return sum((2**v - 1) / math.log2(n + 1) for n, v in enumerate(values, 1))
-
-    ideal_bin = dcg([1.0] * len(gains))
-    ideal_grd = dcg(sorted(gains.values(), reverse=True)[:k])
-    return (
-        hits / max(k, 1),
-        score / max(min(len(gains), k), 1),
-        dcg([1.0 if i in gains else 0.0 for i in top]) / ideal_bin if ideal_bin else 0.0,
-        dcg([gains.get(i, 0.0) for i in top]) / ideal_grd if ideal_grd else 0.0,
-        len(gains),
-    )
-
-
 def test_metrics(spark):
-    rng = random.Random(6)
-    lists, gains = {}, {}
-    for seed in range(12):
-        gains[seed] = {i: rng.choice([0.1, 0.25, 0.5, 1.0]) for i in rng.sample(range(60), rng.randrange(2, 40))}
-        for method in ("a", "b"):
-            lists[method, seed] = rng.sample(range(60), rng.choice([0, 3, 8, 30]))
-    lists["a", 0] = list(gains[0])  # all hits
-    lists["a", 1] = [i for i in range(60) if i not in gains[1]][:25]  # no hit
-    gains[2] = {}  # nothing relevant
-    recs = [(m, s, i, n) for (m, s), r in lists.items() for n, i in enumerate(r, 1)]
-    rel = [
-        (s, i, g, n)
-        for s, table in gains.items()
-        for n, (i, g) in enumerate(sorted(table.items(), key=lambda x: (-x[1], x[0])), 1)
-    ]
+    """Seed 1 has hits at ranks 1 and 3 of three relevant items; 2 has no hit, 3 nothing
+    relevant, 4 no recommendation."""
+    recs = [("a", s, i, n) for s in (1, 2, 3) for n, i in enumerate((10, 20, 30, 40, 50), 1)]
+    rel = [(1, 10, 1.0, 1), (1, 30, 0.5, 2), (1, 99, 0.25, 3), (2, 98, 1.0, 1), (4, 10, 1.0, 1)]
     df = evaluate(
         spark.createDataFrame(recs, "method string, seed_id int, item_id int, rank bigint"),
         spark.createDataFrame(rel, "seed_id int, item_id int, gain double, rank bigint"),
-        spark.createDataFrame(list(lists), "method string, seed_id int"),
+        spark.createDataFrame([("a", s) for s in (1, 2, 3, 4)], "method string, seed_id int"),
     )
-    rows = df.collect()
-    assert len(rows) == 12 * 2 * 3
-    for r in rows:
-        expected = py_metrics(lists[r["method"], r["seed_id"]], gains[r["seed_id"]], r["k"])
-        got = (r["precision"], r["map"], r["ndcg_bin"], r["ndcg_grd"], r["n_rel"])
-        assert got == pytest.approx(expected)
-        assert all(0 <= v <= 1 + 1e-12 for v in got[:4])
+    metrics = ("precision", "map", "ndcg_bin", "ndcg_grd", "n_rel")
+    got = {(r["seed_id"], r["k"]): tuple(r[m] for m in metrics) for r in df.collect()}
+    assert len(got) == 4 * 3
+    # (1 + 2/3) / 3; 1.5 / (1 + 0.63093 + 0.5); gains 2**g - 1 are 1, 0.41421 and 0.18921
+    for k in (5, 10, 20):
+        assert got[1, k] == pytest.approx((2 / k, 0.555556, 0.703918, 0.890234, 3), abs=1e-5)
+        assert [got[s, k] for s in (2, 3, 4)] == [(0, 0, 0, 0, n) for n in (1, 0, 1)]
     means = summarize(df).collect()
-    assert [(r["k"], r["method"]) for r in means] == [
-        (k, m) for k in (5, 10, 20) for m in ("a", "b")
-    ]
-    assert means[0]["label"] == "a_5"
-    assert means[0]["precision"] == pytest.approx(
-        sum(r["precision"] for r in rows if (r["method"], r["k"]) == ("a", 5)) / 12
-    )
+    assert [(r["k"], r["method"], r["label"]) for r in means] == [(k, "a", f"a_{k}") for k in (5, 10, 20)]
+    assert means[0]["precision"] == pytest.approx(0.1)
 
 
 def test_whole_evaluation(spark):
