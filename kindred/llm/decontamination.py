@@ -98,8 +98,8 @@ def hashed_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
-def bitmap(items: DataFrame) -> np.ndarray:
-    """Which slots the items' seeds fall into, as one bit each."""
+def bitmap(items: DataFrame, width: int = BITMAP_BITS) -> np.ndarray:
+    """Which of 2**``width`` slots the items' seeds fall into, as one bit each."""
 
     def page(key: tuple, table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << PAGE_BITS, np.uint8)
@@ -118,8 +118,8 @@ def bitmap(items: DataFrame) -> np.ndarray:
         .groupBy("page")
         .applyInArrow(page, "page bigint, bits binary")
     )
-    whole = np.zeros((1 << (BITMAP_BITS - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
-    for row in pages.collect():  # at most 2**(BITMAP_BITS - PAGE_BITS) rows of fixed size
+    whole = np.zeros((1 << (width - PAGE_BITS), 1 << (PAGE_BITS - 3)), np.uint8)
+    for row in pages.collect():  # at most 2**(width - PAGE_BITS) rows of fixed size
         whole[row["page"]] = np.frombuffer(row["bits"], np.uint8)
     return whole.reshape(-1)
 

@@ -7,15 +7,20 @@ share a fingerprint, wherever the words stand and however the lines are broken;
 guarantee is why the hashes are taken over words and not over whole lines, whose
 breaks move when a passage is pasted into another line.
 
-Each fingerprint's first place (lowest document id, then lowest position) is its
-source. Later places are joined with it, fingerprints that continue one another on the
-same shift become one run, and the run is extended word by word in both directions by
-comparing ``REACH`` words around it in both documents. A run of ``MIN_WORDS`` words or more is
-deleted from the later document, with the blanks before it; its first occurrence stays.
-
-Only fingerprints (about one for 13 words) and run edges are shuffled, and the texts
-twice, by document. Each later place is paired with one source, never with all others, so a
-passage that stands in a third of all documents costs one row for each of its places.
+Each fingerprint's first place (lowest document id, then lowest position) is its source. Later
+places are joined with it, and fingerprints that continue one another on the same shift become one
+run. A window of ``MIN_WORDS`` words belongs to its first smallest fingerprint. Where it lies inside
+a run, it is repeated; where it sticks out, the source may differ there while another
+document has the whole window, so all windows of that fingerprint are hashed themselves, in
+every document, and each is compared with its own first place. What is deleted is thus exact:
+every word of a window of ``MIN_WORDS`` words that stands at an earlier place too, with the
+blanks before it; first occurrences stay.
+
+Only fingerprints (about one for 13 words) and the windows at the edges of runs are shuffled, and the
+texts once, by document. Which fingerprints' windows are asked for is sent to all tasks as a bitmap of
+fixed size; a large input fills it and makes it less useful, never wrong. Each later place is
+paired with one first place, never with all others, so a passage that stands in a third of all
+documents costs one row for each of its places.
 
 Defined cases: an id stands for one text (where different texts share an id, they are
 taken for one another); a null text stays null; texts under 50 words stay as they are; rows without
@@ -30,16 +35,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.decontamination import bitmap
 from kindred.llm.words import (
     EXACT,
     blocks,
     column,
     long_runs,
     narrowed,
-    sliding,
     texts,
     tokens,
 )
@@ -48,22 +53,32 @@ from kindred.session import cut
 MIN_WORDS = 50
 RUN = 26
 WINDOW = MIN_WORDS - RUN + 1
-#: Words that a run can be extended by on each side, beyond its outer fingerprints.
-REACH = 32
+#: Bits of the bitmap of fingerprints whose windows are hashed, as a power of two.
+BITMAP_BITS = 27
+
+
+def chosen(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For every window, the place of its minimum, the first one where there are ties."""
+    out, have = np.arange(len(hashes)), 1
+    while have < window:
+        step = min(have, window - have)
+        left, right = out[: max(0, len(out) - step)], out[step:]
+        out = np.where(hashes[right] < hashes[left], right, left)
+        have += step
+    return out
 
 
 def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the minima of all windows, ties included."""
-    if len(hashes) < window:
-        return np.zeros(0, np.int64)
-    low = sliding(hashes, window, np.minimum)
-    edge = np.zeros(window - 1, np.uint64)
-    high = sliding(np.concatenate([edge, low, edge]), window, np.maximum)
-    return np.flatnonzero(high == hashes)
+    """Places of the minima of all windows."""
+    return np.unique(chosen(hashes, window))
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``place`` (number of the first word) and ``hash`` of all fingerprints."""
+    """``doc_id``, ``place`` (number of the first word) and ``hash`` of all fingerprints.
+
+    ``ahead`` and ``behind`` are how many words before ``place`` the first and the last window
+    begin that belong to it.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,141 +87,153 @@ def marked(docs: DataFrame) -> DataFrame:
                 found = tokens(own[part], EXACT)
                 hashes = long_runs(found.hashes, RUN)
                 ends = np.cumsum(found.counts)
-                out: list[np.ndarray] = []
+                out: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
                 for i in np.flatnonzero(found.counts >= MIN_WORDS):
                     begin = ends[i] - found.counts[i]
-                    out.append(begin + fingerprints(hashes[begin : ends[i] - RUN + 1]))
-                at = np.concatenate([np.zeros(0, np.int64), *out])
+                    of = chosen(hashes[begin : ends[i] - RUN + 1])
+                    last = np.flatnonzero(np.diff(of, append=-1))
+                    at = of[last]
+                    first = np.concatenate([[0], last[:-1] + 1])
+                    for x, values in zip(out, (begin + at, at - first, at - last)):
+                        x.append(values)
+                at, ahead, behind = map(np.concatenate, out)
                 owner = np.searchsorted(ends, at, "right")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[part][owner]),
                         pa.array((at - (ends - found.counts)[owner]).astype(np.int32)),
                         pa.array(hashes[at].view(np.int64)),
+                        pa.array(ahead.astype(np.int8)),
+                        pa.array(behind.astype(np.int8)),
                     ],
-                    ["doc_id", "place", "hash"],
+                    ["doc_id", "place", "hash", "ahead", "behind"],
                 )
 
     return (
         narrowed(docs)
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(work, "doc_id bigint, place int, hash bigint")
+        .mapInArrow(work, "doc_id bigint, place int, hash bigint, ahead tinyint, behind tinyint")
     )
 
 
-def later_runs(marks: DataFrame) -> DataFrame:
-    """Runs of fingerprints that continue one another in a document and in their source.
-
-    ``doc_id``, ``first`` and ``last`` (places in the document), ``source`` (document) and
-    ``shift`` (place in the document minus place in the source).
-    """
-    source = (
-        marks.groupBy("hash")
+def first_places(places: DataFrame) -> DataFrame:
+    """``hash``, ``source`` (document) and ``origin`` (place) of the first of several places."""
+    return (
+        places.groupBy("hash")
         .agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("hash", F.col("at.doc_id").alias("source"), F.col("at.place").alias("origin"))
     )
+
+
+#: Places that are later than the first place they are joined with.
+LATER = "doc_id > source OR doc_id = source AND place > origin"
+
+
+def later_runs(marks: DataFrame) -> DataFrame:
+    """Runs of fingerprints that continue one another in a document and in their source.
+
+    ``doc_id``, ``first`` and ``end`` (words), and ``open``, the hashes of its fingerprints
+    to which windows belong that stick out of the run.
+    """
     pairs = (
-        marks.join(source, "hash")
-        .where("doc_id > source OR doc_id = source AND place > origin")
-        .select("doc_id", "source", (F.col("place") - F.col("origin")).alias("shift"), "place")
+        marks.join(first_places(marks), "hash")
+        .where(LATER)
+        .withColumn("shift", F.col("place") - F.col("origin"))
+        .select("doc_id", "source", "shift", "place", "hash", "ahead", "behind")
         .distinct()
     )
     same = Window.partitionBy("doc_id", "source", "shift").orderBy("place")
     breaks = F.coalesce(F.col("place") - F.lag("place").over(same) > RUN, F.lit(True))
-    return (
+    runs = (
         pairs.withColumn("breaks", breaks.cast("int"))
         .withColumn("number", F.sum("breaks").over(same))
         .groupBy("doc_id", "source", "shift", "number")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
-        .drop("number")
+        .agg(
+            F.min("place").alias("first"),
+            (F.max("place") + RUN).alias("end"),
+            F.collect_list(F.struct("place", "hash", "ahead", "behind")).alias("marks"),
+        )
     )
+    out = F.filter(
+        "marks",
+        lambda m: (m["place"] - m["ahead"] < F.col("first"))
+        | (m["place"] - m["behind"] + MIN_WORDS > F.col("end")),
+    )
+    return runs.select("doc_id", "first", "end", F.transform(out, lambda m: m["hash"]).alias("open"))
 
 
-def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words around stretches of documents.
-
-    ``wanted`` holds ``doc_id``, ``first`` and ``end`` (words). ``left`` gets the ``REACH``
-    words before ``first``, the nearest first, ``right`` those from ``end`` on, as
-    32-bit hashes; both stop where the text does.
-    """
-    asked = wanted.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("first", "end"))).alias("asked")
+def asked(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of ``hash``. Fingerprints are small values, so their low bits are used."""
+    low = F.lit((1 << BITMAP_BITS) - 1).cast("bigint")
+    slots = F.array(
+        F.col("hash").bitwiseAND(low), F.shiftright("hash", BITMAP_BITS).bitwiseAND(low)
     )
-    texts_of = narrowed(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return bitmap(hashes.select(slots.alias("slots")), BITMAP_BITS)
+
+
+def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``doc_id``, ``place`` and ``hash`` of the windows whose fingerprints are in ``bits``."""
+
+    def wanted(hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for shift in (0, BITMAP_BITS):
+            slot = ((hashes >> np.uint64(shift)) & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+            found &= (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 != 0
+        return found
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, own, asks = column(batch, "doc_id"), texts(batch), column(batch, "asked")
+            ids, own = column(batch, "doc_id").to_numpy(), texts(batch)
             for part in blocks(own):
                 found = tokens(own[part], EXACT)
-                short = (found.hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                hashes = long_runs(found.hashes, RUN)
                 ends = np.cumsum(found.counts)
-                out: list[list] = [[], [], [], [], []]
-                for i, end in enumerate(ends):
-                    words = short[end - found.counts[i] : end]
-                    row = part.start + i
-                    spans = asks[row].values
-                    for a, b in zip(spans.field("first").to_numpy(), spans.field("end").to_numpy()):
-                        out[0].append(ids[row].as_py())
-                        out[1].append(a)
-                        out[2].append(b)
-                        out[3].append(words[max(0, a - REACH) : a][::-1])
-                        out[4].append(words[b : b + REACH])
-                many = pa.list_(pa.int32())
-                kinds = (pa.int64(), pa.int32(), pa.int32(), many, many)
+                good = wanted(hashes)
+                out: list[np.ndarray] = [np.zeros(0, np.int64)]
+                for i in np.flatnonzero(found.counts >= MIN_WORDS):
+                    begin = ends[i] - found.counts[i]
+                    mine = slice(begin, ends[i] - RUN + 1)
+                    if good[mine].any():
+                        out.append(begin + np.flatnonzero(good[mine][chosen(hashes[mine])]))
+                at = np.concatenate(out)
+                owner = np.searchsorted(ends, at, "right")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(out, kinds)],
-                    ["doc_id", "first", "end", "left", "right"],
+                    [
+                        pa.array(ids[part][owner]),
+                        pa.array((at - (ends - found.counts)[owner]).astype(np.int32)),
+                        pa.array(long_runs(found.hashes, MIN_WORDS)[at].view(np.int64)),
+                    ],
+                    ["doc_id", "place", "hash"],
                 )
 
     return (
-        texts_of.join(asked.hint("shuffle_hash"), "doc_id")
-        .mapInArrow(work, "doc_id bigint, first int, end int, left array<int>, right array<int>")
-        .dropDuplicates(["doc_id", "first", "end"])
+        narrowed(docs)
+        .where("doc_id IS NOT NULL AND text IS NOT NULL")
+        .mapInArrow(work, "doc_id bigint, place int, hash bigint")
     )
 
 
-def _equal_ahead(a: str, b: str) -> Column:
-    """How many leading elements two arrays have in common."""
-    unequal = F.transform(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), lambda p: ~p["x"].eqNullSafe(p["y"]))
-    at = F.array_position(unequal, True)
-    return F.when(at > 0, at - 1).otherwise(F.size(unequal)).cast("int")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Words to delete: ``doc_id`` and ``spans``, an ordered array of (first, end)."""
-    runs = cut(
-        later_runs(cut(marked(docs), "marks"))
-        .withColumn("end", F.col("last") + RUN)
-        .withColumn("origin_first", F.col("first") - F.col("shift"))
-        .withColumn("origin_end", F.col("end") - F.col("shift")),
-        "runs",
-    )
-    wanted = runs.select("doc_id", "first", "end").union(
-        runs.select("source", "origin_first", "origin_end")
-    )
-    around = cut(surroundings(docs, wanted.distinct()), "around")
-    own = around.select("doc_id", "first", "end", F.col("left").alias("l1"), F.col("right").alias("r1"))
-    other = around.select(
-        F.col("doc_id").alias("source"),
-        F.col("first").alias("origin_first"),
-        F.col("end").alias("origin_end"),
-        F.col("left").alias("l2"),
-        F.col("right").alias("r2"),
-    )
-    extended = (
-        runs.join(own, ["doc_id", "first", "end"])
-        .join(other, ["source", "origin_first", "origin_end"])
-        .select(
-            "doc_id",
-            (F.col("first") - _equal_ahead("l1", "l2")).alias("first"),
-            (F.col("end") + _equal_ahead("r1", "r2")).alias("end"),
-        )
-        .where(F.col("end") - F.col("first") >= MIN_WORDS)
+    runs = cut(later_runs(cut(marked(docs), "marks")), "runs")
+    open_ends = asked(runs.select(F.explode("open").alias("hash")))
+    hashed = cut(windows(docs, open_ends), "windows")
+    sticking_out = (
+        hashed.join(first_places(hashed), "hash")
+        .where(LATER)
+        .select("doc_id", F.col("place").alias("first"), (F.col("place") + MIN_WORDS).alias("end"))
     )
+    inside = runs.where(F.col("end") - F.col("first") >= MIN_WORDS)
+    before = Window.partitionBy("doc_id").orderBy("first", "end")
+    reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        extended.distinct()
+        inside.select("doc_id", "first", "end")
+        .union(sticking_out)
+        .withColumn("new", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
+        .withColumn("number", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "number")
+        .agg(F.min("first").alias("first"), F.max("end").alias("end"))
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
     )

@@ -221,6 +221,43 @@ def test_line_dedup(spark):
     assert line_dedup.remove(docs.limit(0)).count() == 0
 
 
+def repeated_by_hand(rows):
+    """Words of the windows of 50 words that stand at an earlier place too."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        words = text.split()
+        spots = out.setdefault(i, set())
+        for j in range(len(words) - 49):
+            window = tuple(words[j : j + 50])
+            if window in seen:
+                spots |= set(range(j, j + 50))
+            seen.add(window)
+    return out
+
+
+def test_line_dedup_tries_all_earlier_holders(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 90)
+    edited = [w if j % 45 != 30 else "edited" for j, w in enumerate(passage)]
+    rows = [(1, prose(rng, 40) + passage[20:60] + prose(rng, 40))]  # only a piece
+    rows += [(i, prose(rng, 30) + passage + prose(rng, 30)) for i in (2, 3)]
+    rows += [(4, prose(rng, 20) + edited + prose(rng, 20)), (5, prose(rng, 9) + edited)]
+    base = prose(rng, 400)
+    for i in range(10, 40):  # copies with edits at different words
+        copy = list(base)
+        for j in rng.sample(range(400), 5):
+            copy[j] = f"own{i}"
+        rows.append((i, copy[rng.randrange(60) :]))
+    rows = [(i, " ".join(words)) for i, words in rows]
+    got = line_dedup.remove(documents(spark, rows)).collect()
+    expected = repeated_by_hand(rows)
+    assert len(expected[3]) >= 90
+    for r in got:
+        spans = [(s["first"], s["end"]) for s in r.removed_spans or []]
+        assert {j for a, b in spans for j in range(a, b)} == expected[r.doc_id]
+        assert r.removed_words == len(expected[r.doc_id])
+
+
 def test_fingerprints_cover_every_window():
     values = np.random.default_rng(1).integers(0, 50, 500).astype(np.uint64)
     at = line_dedup.fingerprints(values, 25)
