@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import (
     decontamination,
+    hard_negatives,
     knn_join,
+    lexical,
     line_dedup,
     mixing,
     near_dedup,
     pii,
     ppm,
+    pu_quality,
     secrets,
     toxicity,
     url_filter,
@@ -28,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def in_fold(number: int, folds: int = 5) -> Column:
+    """Whether a document is of one fold; without an id it is of none."""
+    return F.coalesce(fold(F.col("doc_id"), folds) == number, F.lit(False))
+
+
 def toxic_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity labels that may be learned from."""
     labels = table(spark, folder, "labels")
@@ -52,14 +60,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(toxicity.labelled_sample(docs, toxic_labels(spark, folder)))
     scored = toxicity.score(docs, model)
     return scored.select(
-        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"
+        "doc_id", in_fold(0).alias("held_out"), "score", "predicted"
     )
 
 
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text under a model of those outside fold 1."""
+    """Every text under a model of those outside fold 1; texts without an id are not held out."""
     docs = table(spark, folder, "documents")
-    held_out = fold(F.col("doc_id")) == 1
+    held_out = in_fold(1)
     scored = ppm.scores(docs, ~held_out, chunk=ppm.file_chunk())
     return scored.select(
         "doc_id",
@@ -149,6 +157,27 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's score; good texts are trusted outside fold 2 of 4, all others are unlabelled."""
+    labels = table(spark, folder, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    scored = pu_quality.classify(
+        table(spark, folder, "documents"), labels.select("doc_id", F.col("quality").alias("label"))
+    )
+    return scored.select("doc_id", in_fold(2, 4).alias("held_out"), "score", "predicted")
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh one's label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(hard_negatives.candidates(vectors), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_knn_join": op2_knn_join,
@@ -160,9 +189,14 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op2_knn_join": OP2_SQL,
     "op5_url_filter": url_filter.sql(),
+    "op12_lexical_search": lexical.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
