@@ -1,228 +1,17 @@
 """The most similar items of each seed, by cosine.
 
-Seeds and items are cut into blocks of bounded size by a hash of their id. Every
-block of seeds meets every block of items in a task of its own, which multiplies the
-two small matrices and passes on only the best ``k`` per seed. No pair of items is
-ever a row, a term that all items share costs no more than its entries, and the
-shuffle carries ``k`` rows per seed and item block. With a few hundred seeds there is
-one seed block, so the work grows linearly with the items.
-
 As in a dense similarity matrix, items without anything in common have similarity 0
-and still fill up a short list. Scores are rounded to ``DECIMALS`` before ranking and
-ties go to the lower item id, so the result is the same on every run.
+and still fill up a short list. Scores are rounded to six decimals before ranking and
+ties go to the lower item id, so the result is the same on every run. How the lists are found
+without comparing all with all is told in :mod:`kindred.operators.topk`.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DECIMALS = 6
-SEED_BLOCK = 2048
-SMALLEST_ITEM_BLOCK = 256
-LARGEST_ITEM_BLOCK = 16_384
-SCORES_PER_TASK = 8_000_000
-ENTRIES_PER_BLOCK = 4_000_000
-TASKS_PER_CORE = 4
-MOST_COMMON_TERMS = 2048
-
-Scores = Iterator[np.ndarray]
-
-
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return pc.list_flatten(column).to_numpy()
-
-
-def _sparse_scores(seeds: pa.Table, items: pa.Table) -> Scores:
-    """Per seed the dot products with all items of the block.
-
-    Terms that many items of the block share are multiplied as dense matrices, all
-    others entry by entry.
-    """
-    lengths = pc.list_value_length(items["idx"]).to_numpy()
-    item_idx, item_weight = _flat(items["idx"]), _flat(items["weight"])
-    by_term = np.argsort(item_idx, kind="stable")
-    owner = np.repeat(np.arange(items.num_rows), lengths)[by_term]
-    item_weight = item_weight[by_term]
-    terms, first, count = np.unique(
-        item_idx[by_term], return_index=True, return_counts=True
-    )
-
-    bounds = np.append(0, np.cumsum(pc.list_value_length(seeds["idx"]).to_numpy()))
-    seed_weight, seed_idx = _flat(seeds["weight"]), _flat(seeds["idx"])
-    seed_owner = np.repeat(np.arange(seeds.num_rows), np.diff(bounds))
-    place = np.searchsorted(terms, seed_idx)
-    known = place < terms.size
-    known[known] = terms[place[known]] == seed_idx[known]
-
-    shared_by_many = np.flatnonzero(count > items.num_rows / 8)
-    common = shared_by_many[np.argsort(-count[shared_by_many])][:MOST_COMMON_TERMS]
-    column = np.full(terms.size, -1)
-    column[common] = np.arange(common.size)
-
-    def dense(rows: np.ndarray, where: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        table = np.zeros((n, common.size))
-        is_common = column[where] >= 0
-        table[rows[is_common], column[where[is_common]]] = weight[is_common]
-        return table
-
-    base = (
-        dense(seed_owner[known], place[known], seed_weight[known], seeds.num_rows)
-        @ dense(owner, np.repeat(np.arange(terms.size), count), item_weight, items.num_rows).T
-    )
-    rare = known.copy()
-    rare[known] = column[place[known]] < 0
-    for row, (begin, end) in enumerate(zip(bounds[:-1], bounds[1:])):
-        mine = rare[begin:end]
-        at_term = place[begin:end][mine]
-        runs = count[at_term]
-        # positions of all entries of the shared terms, term after term
-        skip = first[at_term] - (np.cumsum(runs) - runs)
-        at = np.arange(runs.sum()) + np.repeat(skip, runs)
-        product = item_weight[at] * np.repeat(seed_weight[begin:end][mine], runs)
-        yield base[row] + np.bincount(owner[at], product, minlength=items.num_rows)
-
-
-def _unit_rows(table: pa.Table) -> np.ndarray:
-    rows = _flat(table["embedding"]).astype("float64").reshape(table.num_rows, -1)
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-
-
-def _dense_scores(seeds: pa.Table, items: pa.Table) -> Scores:
-    yield from _unit_rows(seeds) @ _unit_rows(items).T
-
-
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, ties by position, best first."""
-    if scores.size > k:
-        bar = np.partition(scores, scores.size - k)[scores.size - k]
-        above = np.flatnonzero(scores > bar)
-        level = np.flatnonzero(scores == bar)[: k - above.size]
-        chosen = np.sort(np.concatenate([above, level]))
-    else:
-        chosen = np.arange(scores.size)
-    return chosen[np.argsort(-scores[chosen], kind="stable")]
-
-
-def _block_kernel(
-    score: Callable[[pa.Table, pa.Table], Scores], k: int, keep_self: bool
-) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    extra = 0 if keep_self else 1
-    scale = 10.0**DECIMALS
-
-    def best_of_block(seeds: pa.Table, items: pa.Table) -> pa.Table:
-        items = items.sort_by("item_id")
-        positions: list[np.ndarray] = []
-        values: list[np.ndarray] = []
-        if seeds.num_rows and items.num_rows:
-            for row in score(seeds, items):
-                rounded = np.floor(row * scale + 0.5) / scale
-                # one more than k, since the seed itself may be among them
-                best = _best(rounded, k + extra)
-                positions.append(best)
-                values.append(rounded[best])
-        sizes = [p.size for p in positions]
-        seed_rows = np.repeat(np.arange(len(sizes)), sizes)
-        item_rows = np.concatenate(positions) if positions else np.empty(0, "int64")
-        out = pa.table(
-            {
-                "seed_id": seeds["seed_id"].take(pa.array(seed_rows, pa.int64())),
-                "item_id": items["item_id"].take(pa.array(item_rows, pa.int64())),
-                "similarity": np.concatenate(values) if values else np.empty(0),
-            }
-        )
-        if not keep_self:
-            out = out.filter(pc.not_equal(out["seed_id"], out["item_id"]))
-        return out
 
-    return best_of_block
-
-
-def _plan_blocks(
-    n_seeds: int, n_items: int, n_entries: int, parallelism: int
-) -> tuple[int, int]:
-    """How many seed blocks and item blocks keep every task within its bounds."""
-    seed_blocks = max(1, math.ceil(n_seeds / SEED_BLOCK))
-    per_seed_block = max(1, math.ceil(n_seeds / seed_blocks))
-    rows = min(LARGEST_ITEM_BLOCK, SCORES_PER_TASK // per_seed_block)
-    item_blocks = max(
-        1, math.ceil(n_items / rows), math.ceil(n_entries / ENTRIES_PER_BLOCK)
-    )
-    # small inputs are split further, into several tasks for each core
-    wanted = math.ceil(TASKS_PER_CORE * parallelism / seed_blocks)
-    item_blocks = max(
-        item_blocks, min(wanted, math.ceil(n_items / SMALLEST_ITEM_BLOCK))
-    )
-    return seed_blocks, item_blocks
-
-
-def _top_k(
-    seeds: DataFrame,
-    items: DataFrame,
-    score: Callable[[pa.Table, pa.Table], Scores],
-    size_of: str,
-    k: int,
-    keep_self: bool,
-) -> DataFrame:
-    spark = items.sparkSession
-    totals = items.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size(size_of)).alias("e")
-    ).first()
-    seed_blocks, item_blocks = _plan_blocks(
-        seeds.count(), totals["n"], totals["e"] or 0, spark.sparkContext.defaultParallelism
-    )
-
-    def block(key: str, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = seeds.withColumn("_s", block("seed_id", seed_blocks)).withColumn(
-        "_i", every(item_blocks)
-    )
-    right = items.withColumn("_i", block("item_id", item_blocks)).withColumn(
-        "_s", every(seed_blocks)
-    )
-    schema = T.StructType(
-        [
-            T.StructField("seed_id", seeds.schema["seed_id"].dataType),
-            T.StructField("item_id", items.schema["item_id"].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    partial = (
-        left.groupBy("_s", "_i")
-        .cogroup(right.groupBy("_s", "_i"))
-        .applyInArrow(_block_kernel(score, k, keep_self), schema)
-    )
-    return top_per_seed(partial, "similarity", k)
-
-
-def _renewed(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns under new identities, so that seeds may be made from the items."""
-    return df.select(*[F.col(c).alias(c) for c in columns])
-
-
-def top_per_seed(scored: DataFrame, score_col: str, k: int) -> DataFrame:
-    """The best ``k`` items of each seed with their ``rank``, ties by item id.
-
-    The rank limit is pushed below the shuffle, so a task sends on at most ``k`` rows
-    per seed.
-    """
-    order = Window.partitionBy("seed_id").orderBy(F.desc(score_col), F.asc("item_id"))
-    return (
-        scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
-        .filter(F.col("rank") <= k)
-    )
+from kindred.operators.topk import TERMS, VECTORS, Blocks
 
 
 def similar_by_terms(
@@ -231,16 +20,9 @@ def similar_by_terms(
     """``(seed_id, item_id, similarity, rank)`` over unit-length sparse vectors.
 
     ``seeds(seed_id, idx, weight)`` are items, or queries weighed with the same
-    vocabulary (then with ``keep_self``). Both tables are read more than once.
+    vocabulary (then with ``keep_self``).
     """
-    return _top_k(
-        _renewed(seeds, "seed_id", "idx", "weight"),
-        _renewed(items, "item_id", "idx", "weight"),
-        _sparse_scores,
-        "idx",
-        k,
-        keep_self,
-    )
+    return Blocks.of(items, TERMS).top(seeds, k, keep_self)
 
 
 def similar_by_vector(
@@ -250,14 +32,7 @@ def similar_by_vector(
 
     All vectors have one length; a zero vector has similarity 0 to everything.
     """
-    return _top_k(
-        _renewed(seeds, "seed_id", "embedding"),
-        _renewed(items, "item_id", "embedding"),
-        _dense_scores,
-        "embedding",
-        k,
-        keep_self,
-    )
+    return Blocks.of(items, VECTORS).top(seeds, k, keep_self)
 
 
 def as_seeds(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

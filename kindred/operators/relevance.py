@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.hashing import mix
-from kindred.operators.neighbors import top_per_seed
+from kindred.operators.topk import top_per_seed
 
 # Relevance lists, candidates and sample of the evaluation.
 MOST_RELEVANT = 1000

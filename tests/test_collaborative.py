@@ -3,11 +3,14 @@ from pyspark.sql import functions as F
 
 from kindred.operators.collaborative import (
     best_trial,
+    explode_recommendations,
     fit_als,
     grid_search,
+    optimality,
     param_grid,
     predict,
     recommend_for,
+    recommend_for_all,
     rmse,
 )
 from kindred.operators.embeddings import embed, fit_embedding
@@ -64,6 +67,27 @@ def test_fit_predict_save_load(spark, data, tmp_path):
     assert all(r["itemId"] % 2 == 0 for r in top)
 
 
+def test_lists_equal_those_of_the_library(spark, data):
+    model = fit_als(data.train, rank=4, reg_param=0.05, max_iter=10)
+    library = explode_recommendations(model.recommendForAllUsers(5))
+    expected = {(r.userId, r["rank"]): (r.itemId, r.score) for r in library.collect()}
+    got = {(r.userId, r["rank"]): (r.itemId, r.score) for r in recommend_for_all(model, 5).collect()}
+    assert got.keys() == expected.keys() and len(got) == 200
+    for key, (item, score) in got.items():
+        assert score == pytest.approx(expected[key][1], abs=1e-4)
+        assert item == expected[key][0] or score == pytest.approx(expected[key][1], abs=2e-6)
+
+
+def test_optimality(spark, data):
+    model = fit_als(data.train, rank=4, reg_param=0.05, max_iter=10)
+    rows = optimality(model, data.train, 0.05).collect()
+    assert len(rows) == data.train.select("userId").distinct().count()
+    assert sum(r.ratings for r in rows) == data.train.count()
+    assert max(r.violation for r in rows) < 0.01
+    # another ridge is not what was solved
+    assert max(r.violation for r in optimality(model, data.train, 5.0).collect()) > 0.05
+
+
 def test_grid(spark):
     rows = [tuple(r) for r in param_grid(spark).orderBy("trial").collect()]
     expected = [(r, g, i) for r in (10, 20, 40) for g in (0.01, 0.05, 0.1) for i in (10, 15)]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import kindred.operators.neighbors as neighbors
+import kindred.operators.topk as topk
 from kindred.operators.corpus import (
     corpus_segments,
     feedback_bag,
@@ -119,8 +119,8 @@ def test_many_blocks_give_the_same_lists(spark, monkeypatch):
     # a third of all items are copies of one text
     texts |= {i: "sun sea pool" for i in range(150, 225)}
     index = index_texts(texts_df(spark, texts), "item_id", "text", 60)
-    monkeypatch.setattr(neighbors, "SEED_BLOCK", 50)
-    monkeypatch.setattr(neighbors, "LARGEST_ITEM_BLOCK", 40)
+    for name, size in (("GROUP_ROWS", 50), ("BLOCK_ROWS", 16), ("PAGE_ROWS", 4)):
+        monkeypatch.setattr(topk, name, size)
     weights = py_tfidf(texts, 60)
     same(ranking(similar_items(index, 7)), py_ranking(weights, weights, 7))
     wanted = spark.createDataFrame([(3,), (160,)], "seed_id bigint")
@@ -128,13 +128,64 @@ def test_many_blocks_give_the_same_lists(spark, monkeypatch):
     same(ranking(similar_items(index, 7, wanted)), py_ranking(chosen, weights, 7))
 
 
-def test_block_plan_bounds_every_task():
-    for n_seeds, n_items, n_entries in [(1, 1, 0), (300, 10**9, 3 * 10**11), (10**6, 10**6, 10**8)]:
-        s, i = neighbors._plan_blocks(n_seeds, n_items, n_entries, 8)
-        seeds, items = math.ceil(n_seeds / s), math.ceil(n_items / i)
-        assert seeds <= neighbors.SEED_BLOCK and items <= neighbors.LARGEST_ITEM_BLOCK
-        assert seeds * items <= neighbors.SCORES_PER_TASK
-        assert n_entries / i <= neighbors.ENTRIES_PER_BLOCK
+def brute_force(seeds, items, score, k, keep_self):
+    out = {}
+    for s, a in seeds.items():
+        scored = sorted((-round(score(a, b), 6), i) for i, b in items.items() if keep_self or i != s)
+        out[s] = [(i, -d) for d, i in scored[:k]]
+    return out
+
+
+def cosine(a, b):
+    n = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / n) if n else 0.0
+
+
+@pytest.mark.parametrize("kind, score", [("VECTORS", cosine), ("FACTORS", lambda a, b: float(a @ b))])
+def test_pruned_lists_are_exact_and_skip_blocks(spark, monkeypatch, kind, score):
+    for name, size in (("GROUP_ROWS", 20), ("BLOCK_ROWS", 16), ("PAGE_ROWS", 8), ("PER_PIVOT", 40)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * rng.uniform(0.3, 4, size=(12, 1))
+    rows = {i: centres[i % 12] + rng.normal(size=6) * 0.1 for i in range(400)}
+    rows |= {i: rows[5] for i in range(400, 460)}  # ties
+    rows |= {460: np.zeros(6), 461: np.zeros(6), 462: -rows[5]}
+    kind = getattr(topk, kind)
+    [name] = kind.columns
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], f"item_id bigint, {name} array<double>")
+    blocks = topk.Blocks.of(df, kind)
+    seeds = as_seeds(df, spark.createDataFrame([(i,) for i in range(0, 463, 7)] + [(460,)], "seed_id bigint"))
+    chosen = {i: rows[i] for i in [*range(0, 463, 7), 460]}
+    for k, keep_self in ((6, False), (470, True)):
+        same(ranking(blocks.top(seeds, k, keep_self)), brute_force(chosen, rows, score, k, keep_self))
+    grouped = blocks.grouped(seeds)
+    read = blocks.to_read(grouped, 6, False).where("block >= 0").count()
+    assert read < 0.5 * len(chosen) * blocks.summaries.count()
+    # other partitions, the same blocks
+    again = topk.Blocks.of(df.repartition(7), kind)
+    assert again.rows.select("item_id", "block").exceptAll(blocks.rows.select("item_id", "block")).isEmpty()
+
+
+def test_sparse_blocks_of_other_topics_are_not_read(spark, monkeypatch):
+    for name, size in (("GROUP_ROWS", 50), ("BLOCK_ROWS", 20), ("PER_PIVOT", 10)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"t{i % 4}w{j}" for j in rng.integers(0, 40, 12)) for i in range(200)}
+    index = index_texts(texts_df(spark, texts), "item_id", "text")
+    blocks = topk.Blocks.of(index.vectors, topk.TERMS)
+    grouped = blocks.grouped(as_seeds(index.vectors))
+    read = blocks.to_read(grouped, 5, False).where("block >= 0").count()
+    assert read < 0.45 * 200 * blocks.summaries.count()
+    weights = py_tfidf(texts, 50_000)
+    same(ranking(similar_items(index, 5)), py_ranking(weights, weights, 5))
+
+
+def test_empty_tables_give_empty_lists(spark):
+    none = spark.createDataFrame([], "item_id bigint, embedding array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "item_id bigint, embedding array<double>")
+    assert similar_by_vector(as_seeds(none), one, 3).count() == 0
+    assert similar_by_vector(as_seeds(one), none, 3).count() == 0
+    assert similar_by_vector(as_seeds(one), one, 3).count() == 0
 
 
 def test_text_ids(spark):
