@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.decontamination import bitmap
@@ -43,6 +43,7 @@ from kindred.llm.words import (
     EXACT,
     blocks,
     column,
+    flat_lists,
     long_runs,
     narrowed,
     texts,
@@ -73,11 +74,31 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(chosen(hashes, window))
 
 
+def text_windows(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows of ``MIN_WORDS`` words inside one text, and the places of
+    their fingerprints; ``hashes`` are those of all runs of the texts' words in a row."""
+    of = chosen(hashes)
+    ends = np.repeat(np.cumsum(counts), counts)[: len(of)]
+    first = np.flatnonzero(np.arange(len(of)) + MIN_WORDS <= ends)
+    return first, of[first]
+
+
+def _lead(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which places are the first of their hash in their text; places are in order."""
+    order = np.lexsort((hashes, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(owner[order]) != 0
+    new[1:] |= np.diff(hashes[order].view(np.int64)) != 0
+    out = np.zeros(len(order), bool)
+    out[order] = new
+    return out
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``place`` (number of the first word) and ``hash`` of all fingerprints.
 
     ``ahead`` and ``behind`` are how many words before ``place`` the first and the last window
-    begin that belong to it.
+    begin that belong to it; ``lead`` is whether it is the first place of its hash in the text.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +108,11 @@ def marked(docs: DataFrame) -> DataFrame:
                 found = tokens(own[part], EXACT)
                 hashes = long_runs(found.hashes, RUN)
                 ends = np.cumsum(found.counts)
-                out: list[list] = [[np.zeros(0, np.int64)] for _ in range(3)]
-                for i in np.flatnonzero(found.counts >= MIN_WORDS):
-                    begin = ends[i] - found.counts[i]
-                    of = chosen(hashes[begin : ends[i] - RUN + 1])
-                    last = np.flatnonzero(np.diff(of, append=-1))
-                    at = of[last]
-                    first = np.concatenate([[0], last[:-1] + 1])
-                    for x, values in zip(out, (begin + at, at - first, at - last)):
-                        x.append(values)
-                at, ahead, behind = map(np.concatenate, out)
+                first, of = text_windows(hashes, found.counts)
+                last = np.flatnonzero(np.diff(of, append=-1))
+                at = of[last]
+                ahead = at - first[np.concatenate([[0], last + 1])[: len(last)]]
+                behind = at - first[last]
                 owner = np.searchsorted(ends, at, "right")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -105,25 +121,39 @@ def marked(docs: DataFrame) -> DataFrame:
                         pa.array(hashes[at].view(np.int64)),
                         pa.array(ahead.astype(np.int8)),
                         pa.array(behind.astype(np.int8)),
+                        pa.array(_lead(owner, hashes[at])),
                     ],
-                    ["doc_id", "place", "hash", "ahead", "behind"],
+                    ["doc_id", "place", "hash", "ahead", "behind", "lead"],
                 )
 
     return (
         narrowed(docs)
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(work, "doc_id bigint, place int, hash bigint, ahead tinyint, behind tinyint")
+        .mapInArrow(
+            work,
+            "doc_id bigint, place int, hash bigint, ahead tinyint, behind tinyint, lead boolean",
+        )
     )
 
 
 def first_places(places: DataFrame) -> DataFrame:
-    """``hash``, ``source`` (document) and ``origin`` (place) of the first of several places."""
-    return (
+    """``hash``, ``source`` (document) and ``origin`` (place) of the first of several places.
+
+    Written out, so that the join with all places is one of its own, in which a hash that stands
+    in very many documents can be split.
+    """
+    leading = F.when(F.col("lead"), F.col("doc_id"))
+    found = (
         places.groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.min("doc_id").alias("source"),
+            F.min_by("place", leading).alias("origin"),
+            F.count(F.lit(1)).alias("n"),
+        )
         .where("n > 1")
-        .select("hash", F.col("at.doc_id").alias("source"), F.col("at.place").alias("origin"))
+        .drop("n")
     )
+    return cut(found, "first-places")
 
 
 #: Places that are later than the first place they are joined with.
@@ -141,26 +171,52 @@ def later_runs(marks: DataFrame) -> DataFrame:
         .where(LATER)
         .withColumn("shift", F.col("place") - F.col("origin"))
         .select("doc_id", "source", "shift", "place", "hash", "ahead", "behind")
-        .distinct()
+        .repartition("doc_id", "source", "shift")
+        .sortWithinPartitions("doc_id", "source", "shift", "place")
     )
-    same = Window.partitionBy("doc_id", "source", "shift").orderBy("place")
-    breaks = F.coalesce(F.col("place") - F.lag("place").over(same) > RUN, F.lit(True))
-    runs = (
-        pairs.withColumn("breaks", breaks.cast("int"))
-        .withColumn("number", F.sum("breaks").over(same))
-        .groupBy("doc_id", "source", "shift", "number")
-        .agg(
-            F.min("place").alias("first"),
-            (F.max("place") + RUN).alias("end"),
-            F.collect_list(F.struct("place", "hash", "ahead", "behind")).alias("marks"),
+
+    def runs_of(marks: pa.Table) -> pa.RecordBatch:
+        """The runs of whole (doc_id, source, shift)."""
+        doc, source, shift, place, hashes, ahead, behind = (
+            marks[c].to_numpy().astype(np.int64) for c in marks.column_names
+        )
+        new = np.ones(len(doc), bool)
+        new[1:] = (np.diff(doc) != 0) | (np.diff(source) != 0) | (np.diff(shift) != 0)
+        new[1:] |= np.diff(place) > RUN
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        first, end = place[begin], place[np.append(begin[1:], len(doc)) - 1] + RUN
+        out = (place - ahead < first[run]) | (place - behind + MIN_WORDS > end[run])
+        # rows that repeat an id and a text give every mark repeatedly
+        out[1:] &= new[1:] | (np.diff(place) != 0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc[begin]),
+                pa.array(first.astype(np.int32)),
+                pa.array(end.astype(np.int32)),
+                flat_lists(np.bincount(run[out], minlength=len(begin)), hashes[out], pa.int64()),
+            ],
+            ["doc_id", "first", "end", "open"],
         )
-    )
-    out = F.filter(
-        "marks",
-        lambda m: (m["place"] - m["ahead"] < F.col("first"))
-        | (m["place"] - m["behind"] + MIN_WORDS > F.col("end")),
-    )
-    return runs.select("doc_id", "first", "end", F.transform(out, lambda m: m["hash"]).alias("open"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            if not rows.num_rows:
+                continue
+            keys = [rows[c].to_numpy() for c in ("doc_id", "source", "shift")]
+            changes = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0))
+            # the last (doc_id, source, shift) may go on in the next batch
+            whole = int(changes[-1]) + 1 if len(changes) else 0
+            if whole:
+                yield runs_of(rows.slice(0, whole))
+            kept = rows.slice(whole)
+        if kept is not None and kept.num_rows:
+            yield runs_of(kept)
+
+    return pairs.mapInArrow(work, "doc_id bigint, first int, end int, open array<bigint>")
 
 
 def asked(hashes: DataFrame) -> np.ndarray:
@@ -189,28 +245,24 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 found = tokens(own[part], EXACT)
                 hashes = long_runs(found.hashes, RUN)
                 ends = np.cumsum(found.counts)
-                good = wanted(hashes)
-                out: list[np.ndarray] = [np.zeros(0, np.int64)]
-                for i in np.flatnonzero(found.counts >= MIN_WORDS):
-                    begin = ends[i] - found.counts[i]
-                    mine = slice(begin, ends[i] - RUN + 1)
-                    if good[mine].any():
-                        out.append(begin + np.flatnonzero(good[mine][chosen(hashes[mine])]))
-                at = np.concatenate(out)
+                first, of = text_windows(hashes, found.counts)
+                at = first[wanted(hashes)[of]]
                 owner = np.searchsorted(ends, at, "right")
+                whole = long_runs(found.hashes, MIN_WORDS)[at]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[part][owner]),
                         pa.array((at - (ends - found.counts)[owner]).astype(np.int32)),
-                        pa.array(long_runs(found.hashes, MIN_WORDS)[at].view(np.int64)),
+                        pa.array(whole.view(np.int64)),
+                        pa.array(_lead(owner, whole)),
                     ],
-                    ["doc_id", "place", "hash"],
+                    ["doc_id", "place", "hash", "lead"],
                 )
 
     return (
         narrowed(docs)
         .where("doc_id IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(work, "doc_id bigint, place int, hash bigint")
+        .mapInArrow(work, "doc_id bigint, place int, hash bigint, lead boolean")
     )
 
 
@@ -225,18 +277,49 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("place").alias("first"), (F.col("place") + MIN_WORDS).alias("end"))
     )
     inside = runs.where(F.col("end") - F.col("first") >= MIN_WORDS)
-    before = Window.partitionBy("doc_id").orderBy("first", "end")
-    reached = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    return (
+    spans = (
         inside.select("doc_id", "first", "end")
         .union(sticking_out)
-        .withColumn("new", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
-        .withColumn("number", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "number")
-        .agg(F.min("first").alias("first"), F.max("end").alias("end"))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
+        .repartition("doc_id")
+        .sortWithinPartitions("doc_id", "first", "end")
     )
+    return spans.mapInArrow(_merged, "doc_id bigint, spans array<struct<first: int, end: int>>")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that touch or overlap become one; rows come by document and place."""
+
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        doc, first, end = (rows[c].to_numpy().astype(np.int64) for c in ("doc_id", "first", "end"))
+        other = np.ones(len(doc), bool)
+        other[1:] = np.diff(doc) != 0
+        number = np.cumsum(other)
+        # the end that is reached so far, in documents one behind the other
+        reached = np.maximum.accumulate(number * (1 << 32) + end)
+        new = other.copy()
+        new[1:] |= (number[1:] * (1 << 32) + first[1:]) > reached[:-1]
+        begin = np.flatnonzero(new)
+        until = reached[np.append(begin[1:], len(doc)) - 1] & ((1 << 32) - 1)
+        span = pa.StructArray.from_arrays(
+            [pa.array(first[begin].astype(np.int32)), pa.array(until.astype(np.int32))], ["first", "end"]
+        )
+        counts = np.bincount(number[begin] - 1)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[other]), pa.ListArray.from_arrays(offsets, span)], ["doc_id", "spans"]
+        )
+
+    kept: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        changes = np.flatnonzero(np.diff(rows["doc_id"].to_numpy()))
+        whole = int(changes[-1]) + 1 if len(changes) else 0
+        if whole:
+            yield of(rows.slice(0, whole))
+        kept = rows.slice(whole)
+    if kept is not None and kept.num_rows:
+        yield of(kept)
 
 
 def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, spans: list) -> tuple[bytes, int]:

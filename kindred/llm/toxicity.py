@@ -18,7 +18,7 @@ scored alike; with no labelled rows at all every score is exactly 0.5. Extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -96,9 +96,12 @@ def distinct_features(batch: list[bytes | None]) -> tuple[np.ndarray, np.ndarray
 
 
 def train_one(
-    rows: list[tuple[np.ndarray, int]], rule: Ftrl, epochs: int
+    rows: Sequence[tuple[np.ndarray, int]], rule: Ftrl, epochs: int
 ) -> tuple[float, np.ndarray, np.ndarray]:
-    """FTRL-proximal over ``rows`` of (distinct slots, label), in their order."""
+    """FTRL-proximal over ``rows`` of (distinct slots, label), in their order.
+
+    A row's slots are widened only while it is learned from, so ``rows`` may be views.
+    """
     size = (1 << BITS) + 1  # the last is the intercept
     z, n = np.zeros(size), np.zeros(size)
 
@@ -108,9 +111,9 @@ def train_one(
         rate = (rule.beta + np.sqrt(n[at])) / rule.alpha + rule.l2
         return np.where(away > 0, -np.sign(z[at]) * away / rate, 0.0)
 
-    rows = [(np.append(slots, size - 1), label) for slots, label in rows]
     for _ in range(epochs):
-        for at, label in rows:
+        for slots, label in rows:
+            at = np.append(slots, size - 1)
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / rule.alpha * w
@@ -163,7 +166,8 @@ def fit(
         order = np.argsort(mixed(table["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
         labels = table["label"].to_numpy()
         slots = table["slots"].combine_chunks()
-        rows = [(slots[int(i)].values.to_numpy().astype(np.int64), int(labels[i])) for i in order]
+        flat, offsets = slots.values.to_numpy(), slots.offsets.to_numpy()
+        rows = [(flat[offsets[i] : offsets[i + 1]], int(labels[i])) for i in order]
         intercept, at, weights = train_one(rows, rule, epochs)
         return pa.table(
             {
@@ -235,12 +239,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, that are not predicted to be toxic.
 
-    Rows are judged one by one where they are read; nothing is shuffled or joined.
+    Null texts and texts without any feature (empty ones, marks only) say nothing and stay, whatever the
+    intercept is. Rows are judged one by one where they are read; nothing is shuffled or joined.
     """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.dense()
+        # the score of a text without features; others of just this score know no feature
+        silent = scores([b""], model, table)[0]
         for batch in batches:
-            yield batch.filter(pa.array(scores(texts(batch, text_col), model, table) < 0.5))
+            found = scores(texts(batch, text_col), model, table)
+            yield batch.filter(pa.array((found < 0.5) | (found == silent)))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -22,7 +22,7 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 # The white space between words, as code points.
 BLANK = r"[\x20\x09-\x0D]+"
