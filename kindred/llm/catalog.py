@@ -87,11 +87,15 @@ def op2_knn_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+WITH f AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS f
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+v AS (
+  SELECT vec_id, min(list_transform(f, lambda x: TRY_CAST(x AS BIGINT))) AS v
+  FROM f WHERE list_sum(list_transform(f, lambda x: x * x)) < 9.0e18
   GROUP BY vec_id
 ),
 s AS (

@@ -12,8 +12,12 @@ least ``min_share`` of the words are equal, place by place.
 The bitmap has 2**BITMAP_BITS bits whatever the benchmark's size; a large benchmark fills
 it and makes it less useful, never wrong. Nothing else is sent to all tasks.
 
+Items of ten words or more share five masks, chosen so that wherever the allowed substitutions fall in
+a stretch of 10 to 13 words, one mask looks at none of them. Shorter items have masks of their own length,
+each of which ignores two neighbouring words; the texts are hashed for those lengths that the benchmark has.
+
 Defined cases: null and empty texts hold nothing and hit nothing; a benchmark item with
-fewer words than the shortest mask spans is not searched for; rows without an id are not
+fewer than ``LEAST_WORDS`` words is not searched for, since so few words stand in many texts by chance; rows without an id are not
 searched (and kept by ``remove``); repeated rows are reported once; an empty table
 on either side gives no overlaps. Words are compared in lower case without the
 punctuation around them. Extra columns are ignored.
@@ -40,8 +44,10 @@ from kindred.llm.words import (
 )
 from kindred.session import cut
 
-# Masks of weight 7.
-MASKS = ("1110110011", "11001101011", "1101010111")
+# Masks of weight 6.
+MASKS = ("1101111", "11110011", "1100010111", "1110001011", "10111101")
+#: Words of the shortest items that are searched for, and of the shortest that ``MASKS`` are for.
+LEAST_WORDS, LONG_WORDS = 5, 10
 MIN_WORDS = 13
 MIN_SHARE = 0.8
 BITMAP_BITS = 24
@@ -49,12 +55,24 @@ BITMAP_BITS = 24
 PAGE_BITS = 18
 
 
-def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
+def masks_for(words: int) -> tuple[str, ...]:
+    """The masks that an item of so many words is searched for by."""
+    if words >= LONG_WORDS:
+        return MASKS
+    if words < LEAST_WORDS:
+        return ()
+    return tuple(
+        "1" * at + "0" * min(2, words - at) + "1" * max(0, words - at - 2) for at in range(0, words, 2)
+    )
+
+
+def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     """A hash of the words under the mask's ones, for every place it can be laid at."""
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, number + 1, np.uint64)
+    # a leading one keeps masks apart that differ in their leading zeros
+    total = np.full(n, int("1" + mask, 2), np.uint64)
     for j, bit in enumerate(mask):
         if bit == "1":
             total = total * MULTIPLIER + words[j : j + n]
@@ -80,10 +98,10 @@ def hashed_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             per = np.split(found.hashes, np.cumsum(found.counts)[:-1])
             lists: list[list] = [[], [], [], []]
             for words in per[: batch.num_rows]:
-                each = [seeds(words, m, i) for i, m in enumerate(MASKS)]
-                hashes = np.concatenate(each)
+                each = [seeds(words, m) for m in masks_for(len(words))]
+                hashes = np.concatenate([np.zeros(0, np.uint64), *each])
                 lists[0].append(words.view(np.int64))
-                lists[1].append(np.concatenate([np.arange(len(e)) for e in each]))
+                lists[1].append(np.concatenate([np.zeros(0, np.int64), *(np.arange(len(e)) for e in each)]))
                 lists[2].append(hashes.view(np.int64))
                 lists[3].append(np.concatenate(_slots(hashes)))
             yield pa.RecordBatch.from_arrays(
@@ -124,8 +142,15 @@ def bitmap(items: DataFrame, width: int = BITMAP_BITS) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def regions(docs: DataFrame, bits: np.ndarray, pad: int) -> DataFrame:
-    """Stretches of texts around places that may hit.
+def masks_of(items: DataFrame) -> list[str]:
+    """All masks that some of the hashed ``items`` are searched for by."""
+    sizes = F.least(F.size("words"), F.lit(LONG_WORDS)).alias("n")
+    found = items.select(sizes).distinct().collect()  # LONG_WORDS + 1 rows at most
+    return sorted({mask for row in found for mask in masks_for(row["n"])})
+
+
+def regions(docs: DataFrame, bits: np.ndarray, pad: int, masks: list[str]) -> DataFrame:
+    """Stretches of texts around places that may hit under one of ``masks``.
 
     ``doc_id``, ``start`` (number of its first word), ``words`` with ``pad`` words on both
     sides of the places, and the ``places`` (from the stretch's start) and their ``hashes``.
@@ -146,19 +171,20 @@ def regions(docs: DataFrame, bits: np.ndarray, pad: int) -> DataFrame:
                 ends = np.cumsum(found.counts)
                 begins = ends - found.counts
                 hits, hashes = [], []
-                for i, mask in enumerate(MASKS):
-                    each = seeds(found.hashes, mask, i)
+                for mask in masks:
+                    each = seeds(found.hashes, mask)
                     at = np.flatnonzero(maybe(each))
                     owner = np.searchsorted(ends, at, "right")
                     at = at[at + len(mask) <= ends[owner]]
                     hits.append(at)
                     hashes.append(each[at])
-                at, each = np.concatenate(hits), np.concatenate(hashes)
+                at = np.concatenate([np.zeros(0, np.int64), *hits])
+                each = np.concatenate([np.zeros(0, np.uint64), *hashes])
                 order = np.argsort(at, kind="stable")
                 at, each = at[order], each[order]
                 owner = np.searchsorted(ends, at, "right")
                 left = np.maximum(at - pad, begins[owner])
-                right = np.minimum(at + max(map(len, MASKS)) + pad, ends[owner])
+                right = np.minimum(at + max(map(len, masks), default=0) + pad, ends[owner])
                 new = np.ones(len(at), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (left[1:] > right[:-1])
                 firsts = np.flatnonzero(new)
@@ -214,7 +240,7 @@ def overlaps(
     ``item_start`` and ``matched`` (equal words).
     """
     items = cut(hashed_items(benchmark), "items")
-    near = cut(regions(docs, bitmap(items), min_words), "regions")
+    near = cut(regions(docs, bitmap(items), min_words, masks_of(items)), "regions")
     seeds_of = items.select(
         F.explode(F.arrays_zip("places", "hashes")).alias("s"), "item_id"
     ).select(F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_place"), "item_id")

@@ -13,12 +13,12 @@ cut into blocks of bounded size, each pair of blocks is solved by one matrix pro
 best ``k`` of the blocks are merged.
 
 The bounds only ever keep more than is needed, so the result is exact; ties go to the lower id.
-All scores are 64-bit whole numbers. Pivots, summaries and ranges are bounded by
+All scores are 64-bit whole numbers, exact whatever their size. Pivots, summaries and ranges are bounded by
 ``MOST_PIVOTS`` (squared, for the ranges) whatever the number of vectors.
 
-Defined cases: null vectors, vectors with a null or non-finite component and rows without an id take no
-part; vectors of another length than most take no part either (the length is that of the
-lowest id); rows that repeat an id count once, as the lowest vector; a query with fewer than
+Defined cases: null and empty vectors, vectors with a null or non-finite component or too large for scores
+of 64 bits, and rows without an id take no part; vectors of different lengths are not compared, every
+length is searched by itself; rows that repeat an id count once, as the lowest vector; a query with fewer than
 ``k`` candidates gets them all; an empty table gives an empty result.
 """
 
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.vectors import matrix, products, usable, whole
 from kindred.llm.words import column
 from kindred.session import cut
 
@@ -43,22 +44,16 @@ GROUP, QUERY_BLOCK, DATA_BLOCK = 2_000, 2_000, 8_000
 
 def whole_numbers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id`` and ``v``: each component x as floor(scale * x)."""
-    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
-        vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-        .select(
-            F.col(id_col).cast("bigint").alias("vec_id"),
-            F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"),
-        )
+        vectors.where(F.col(id_col).isNotNull() & usable(vector_col, scale))
+        .select(F.col(id_col).cast("bigint").alias("vec_id"), whole(vector_col, scale).alias("v"))
         .groupBy("vec_id")
         .agg(F.min("v").alias("v"))
     )
 
 
 def _matrix(batch: pa.RecordBatch | pa.Table, name: str, width: int) -> np.ndarray:
-    rows = batch[name] if isinstance(batch, pa.Table) else column(batch, name)
-    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-    return rows.flatten().to_numpy().reshape(-1, width).astype(np.float64)
+    return matrix(batch, name, width).astype(np.float64)
 
 
 def _cells(rows: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +137,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     row is no candidate. ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
     """
     result = "query_id bigint, rank int, vec_id bigint, score bigint"
-    data = cut(vectors, "vectors")
-    first = data.orderBy("vec_id").select(F.size("v")).first()
-    if first is None:
-        return vectors.sparkSession.createDataFrame([], result)
-    width = first[0]
-    data = data.where(F.size("v") == width)
+    data = cut(vectors.withColumn("width", F.size("v")), "vectors")
+    asked = data.where(is_query).select("width").distinct().orderBy("width")
+    found = vectors.sparkSession.createDataFrame([], result)
+    for row in asked.collect():  # the different lengths, one as a rule
+        of_width = data.where(F.col("width") == row["width"]).select("vec_id", "v")
+        found = found.union(_search(of_width, is_query, k, row["width"]))
+    return found
+
+
+def _search(data: DataFrame, is_query: Column, k: int, width: int) -> DataFrame:
+    """``search`` among vectors of one length."""
     rows, n_queries = data.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     n_pivots = int(min(MOST_PIVOTS, max(1, rows // PER_PIVOT)))
     # bounded by MOST_PIVOTS
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         )
         room = norm**2 + summary["norm"][None, :] ** 2 - 2 * floor[:, None]
         reach = np.sqrt(np.maximum(room, 0.0))
-        slack = 1e-6 * (1.0 + gap + reach)
+        slack = 1e-6 * (1.0 + gap + reach + norm)
         low = np.maximum(least, gap - reach) - slack
         high = np.where(room >= -1e-6, gap + reach, -np.inf) + slack
         cell, _ = _cells(q, pivots)
@@ -262,16 +262,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
 
     def solve(own: pa.Table, other: pa.Table) -> pa.Table:
         other = other.sort_by("vec_id")
-        q, ids = _matrix(own, "v", width), own["vec_id"].to_numpy()
-        x, to = _matrix(other, "v", width), other["vec_id"].to_numpy()
+        q, ids = matrix(own, "v", width), own["vec_id"].to_numpy()
+        x, to = matrix(other, "v", width), other["vec_id"].to_numpy()
+        lowest = np.iinfo(np.int64).min  # no score: those are above -9e18
         out: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
         for i in range(0, len(q) if len(x) else 0, 256):
-            scores = q[i : i + 256] @ x.T  # exact: far below 2**53
-            scores[ids[i : i + 256, None] == to[None, :]] = -np.inf
+            scores = products(q[i : i + 256], x)
+            scores[ids[i : i + 256, None] == to[None, :]] = lowest
             most = min(k, scores.shape[1])
             least = np.partition(scores, -most, axis=1)[:, -most]
             for j, row in enumerate(scores):
-                at = np.flatnonzero((row >= least[j]) & (row > -np.inf))
+                at = np.flatnonzero((row >= least[j]) & (row > lowest))
                 at = at[np.lexsort((to[at], -row[at]))][:k]
                 out.append(np.column_stack([np.full(len(at), ids[i + j]), to[at], row[at]]).astype(np.int64))
         rows = np.concatenate(out)

@@ -1,6 +1,8 @@
 """Searching, matching, mixing and filtering operators, against plain Python, and the pipeline."""
 
 import collections
+import itertools
+import math
 import random
 import re
 
@@ -61,9 +63,56 @@ def test_knn_join_edges(spark):
     assert knn_join.search(knn_join.whole_numbers(few.limit(0)), F.lit(True)).count() == 0
 
 
+def test_knn_join_of_odd_lengths_and_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * 1e6).tolist()) for i in range(10, 70)]
+    rows += [(i, (rng.normal(size=3)).tolist()) for i in range(70, 100)]
+    rows += [(0, [1.0]), (1, []), (2, [3.0e38, 0.0, 0.0, 0.0])]  # at the lowest ids; 2 does not fit
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {tuple(r) for r in knn_join.search(knn_join.whole_numbers(df), F.col("vec_id") % 5 == 0, 4).collect()}
+    expected = set()
+    for width in (3, 4):
+        own = [(i, v) for i, v in rows if len(v) == width and i != 2]
+        expected |= by_hand_top(own, lambda i: i % 5 == 0, 4)
+    assert got == expected and len(got) == 4 * 18
+
+
 # benchmark decontamination
 
 
+def test_masks_miss_no_allowed_placement():
+    for n in range(decontamination.LEAST_WORDS, 14):
+        masks = decontamination.masks_for(n)
+        spared = [
+            {at + i for i, bit in enumerate(m) if bit == "1"} for m in masks for at in range(n - len(m) + 1)
+        ]
+        changed = n - math.ceil(0.8 * n - 1e-9)
+        for places in itertools.combinations(range(n), changed):
+            assert any(not s & set(places) for s in spared), (n, places)
+
+
+def test_short_items_and_short_overlaps(spark):
+    rng = random.Random(14)
+    unique = [f"{v}{i}" for i, v in enumerate(VOCABULARY * 6)]
+    rng.shuffle(unique)
+    sizes = [5, 6, 7, 8, 9, 10, 11, 12, 13]
+    items = [(n, " ".join(unique.pop() for _ in range(n))) for n in sizes] + [(4, "four words are few")]
+    rows, expected = [], set()
+    for n, text in items:
+        words = text.split()
+        changed = n - math.ceil(0.8 * n - 1e-9)
+        for places in [(), *itertools.combinations(range(n), changed)]:
+            copy = ["other" if i in places else w for i, w in enumerate(words)]
+            rows.append((len(rows), " ".join(prose(rng, 20) + copy + prose(rng, 20))))
+            if n >= decontamination.LEAST_WORDS:
+                expected.add((len(rows) - 1, n))
+        copy = ["other" if i <= changed else w for i, w in enumerate(words)]
+        rows.append((len(rows), " ".join(prose(rng, 20) + copy)))  # one change too many
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.overlaps(documents(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(prose(rng, rng.randint(14, 40)))) for i in range(30)]

@@ -107,6 +107,9 @@ def test_toxicity_edges(spark):
     scored = toxicity.score(docs, model)
     assert scored.columns == ["doc_id", "score", "predicted"] and scored.count() == len(EDGES)
     assert toxicity.score(docs.limit(0), model).count() == 0
+    # whatever the intercept is, texts that say nothing stay
+    strict = toxicity.Model(intercept=2.0)
+    assert {r.doc_id for r in toxicity.reject(docs, strict).collect()} >= {1, 2, 6}
 
 
 def ppm_by_hand(train, texts):
