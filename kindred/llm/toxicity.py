@@ -162,13 +162,19 @@ def fit(
                 )
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        order = np.argsort(mixed(table["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
-        labels = table["label"].to_numpy()
-        slots = table["slots"].combine_chunks()
-        flat, offsets = slots.values.to_numpy(), slots.offsets.to_numpy()
-        rows = [(flat[offsets[i] : offsets[i + 1]], int(labels[i])) for i in order]
+        # views of the lists where they arrived: nothing that is large is copied
+        lists, labels = [], []
+        for batch in table.to_batches():
+            slots = column(batch, "slots")
+            flat, offsets = slots.values.to_numpy(), slots.offsets.to_numpy()
+            lists += [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            labels += column(batch, "label").to_pylist()
+        ids = table["doc_id"].to_numpy()
+        order = np.lexsort((ids, mixed(ids.astype(np.uint64))))
+        rows = [(lists[i], labels[i]) for i in order]
         intercept, at, weights = train_one(rows, rule, epochs)
+        del table, lists, rows
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
         return pa.table(
             {
                 "slot": pa.array(np.append(at, -1), pa.int64()),
