@@ -15,7 +15,14 @@ from kindred.operators.dictionaries import (
     map_tokens,
     replace_symbols,
 )
-from kindred.operators.embeddings import embed, fit_embedding
+from kindred.operators.embeddings import (
+    MIN_COUNT,
+    UNITS,
+    VECTOR_SIZE,
+    WINDOW,
+    embed,
+    fit_embedding,
+)
 from kindred.operators.terms import FULL_CORPUS_FEATURES
 from kindred.plans.content import index_corpus
 
@@ -263,8 +270,54 @@ SELECT term, df, ctf, round(idf, 6) AS idf FROM idf"""
 
 
 def doc_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """An embedding of every document, learnt on all of them.
+
+    Means of whole numbers often lie just between two roundings; the nudge decides for both sides.
+    """
     texts = light(spark, folder)
-    return embed(fit_embedding(texts, "text"), texts, "doc_id", "text")
+    found = embed(fit_embedding(texts, "text"), texts, "doc_id", "text")
+    return found.select("item_id", F.posexplode("embedding").alias("dimension", "x")).select(
+        "item_id", "dimension", (F.round(F.col("x") + 1e-9, 6) + 0.0).alias("value")
+    )
 
 
 QUERIES["doc_embedding"] = doc_embedding
+SQL["doc_embedding"] = f"""
+WITH {LIGHT_DOCUMENTS_SQL},
+toks AS (SELECT doc_id, {_split('text')} AS t FROM light),
+met AS (
+  SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (
+    SELECT unnest(t) AS a, unnest(t[1 + d:] || list_transform(range(least(d, len(t))), lambda x: NULL)) AS b
+    FROM toks, range(1, {WINDOW + 1}) r(d)
+  ) WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {MIN_COUNT}
+),
+directed AS (
+  SELECT word, other, sum(n) AS n FROM (
+    SELECT a AS word, b AS other, n FROM met UNION ALL SELECT b, a, n FROM met
+  ) GROUP BY word, other
+),
+alone AS (SELECT word, sum(n) AS own FROM directed GROUP BY word),
+total AS (SELECT sum(n) AS n FROM directed),
+gains AS (
+  SELECT b.word, b.other,
+         CAST(floor(ln(CAST(b.n AS DOUBLE) * CAST(t.n AS DOUBLE) / (CAST(w.own AS DOUBLE) * CAST(o.own AS DOUBLE))) * {UNITS} + 0.5) AS BIGINT) AS gain
+  FROM directed b JOIN alone w ON w.word = b.word JOIN alone o ON o.word = b.other, total t
+),
+sign AS (
+  SELECT word AS other, d,
+         2 * ((CAST('0x' || substr(md5(word), CAST(1 + d // 4 AS INTEGER), 1) AS INTEGER) >> CAST(d % 4 AS INTEGER)) % 2) - 1 AS s
+  FROM alone, range({VECTOR_SIZE}) r(d)
+),
+vectors AS (
+  SELECT word, d, CAST(sum(gain * s) AS BIGINT) AS x FROM gains JOIN sign USING (other) WHERE gain > 0 GROUP BY word, d
+),
+counted AS (
+  SELECT doc_id, tok AS word, count(*) AS c FROM (SELECT doc_id, unnest(t) AS tok FROM toks) GROUP BY doc_id, tok
+),
+means AS (
+  SELECT doc_id, d, sum(c * x) / (sum(c) * {float(UNITS)}) AS x
+  FROM counted JOIN vectors USING (word) GROUP BY doc_id, d
+)
+SELECT a.doc_id AS item_id, CAST(r.d AS INTEGER) AS dimension, coalesce(round(m.x + 1e-9, 6), 0.0) + 0.0 AS value
+FROM (SELECT DISTINCT doc_id FROM light) a CROSS JOIN range({VECTOR_SIZE}) r(d)
+LEFT JOIN means m ON m.doc_id = a.doc_id AND m.d = r.d"""

@@ -1,24 +1,129 @@
-"""Text embeddings learnt on the corpus itself."""
+"""Text embeddings learnt on the corpus itself, by joins and sums alone.
+
+Words that stand within ``WINDOW`` words of one another are counted together. What two words
+share beyond chance is their positive association, ``max(0, ln(n(w,c) N / (n(w) n(c))))`` over
+the pairs that were met ``MIN_COUNT`` times or more. A word's vector is the sum of its associations, each with the
+signs of the other word: a projection of the whole association table to ``VECTOR_SIZE`` dimensions, with
+signs that are bits of the other word's MD5. A text's vector is the mean of its words' vectors.
+
+No table of words is held by the driver or by a task; the number of words has no limit. Associations are
+rounded to thousandths and added up as whole numbers, so vectors are the same on any number of
+cores and partitions.
+
+Defined cases: a text without a known word has the zero vector; a null text counts as empty; rows that
+repeat an id are one text of all their words; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions.text import split_tokens
+from kindred.session import cut
 
 # The default training settings.
 VECTOR_SIZE = 128
 WINDOW = 5
 MIN_COUNT = 2
-EPOCHS = 30
+
+#: Associations are rounded to this fraction.
+UNITS = 1000
+
+
+def together(texts: DataFrame, text_col: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
+    """``(word, other, n)``: how often two words stand within ``window`` words, in both directions."""
+    tokens = texts.select(split_tokens(F.col(text_col)).alias("t"))
+
+    def pairs_at(distance: int) -> Column:
+        n = F.greatest(F.size("t") - distance, F.lit(0))
+        return F.zip_with(
+            F.slice("t", F.lit(1), n),
+            F.slice("t", F.lit(1 + distance), n),
+            lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")),
+        )
+
+    every = F.concat(*[pairs_at(d) for d in range(1, window + 1)])
+    counted = (
+        tokens.select(F.inline(every))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") >= min_count)
+    )
+    both = F.array(
+        F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n")),
+        F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n")),
+    )
+    # a word next to itself counts twice, once in each direction
+    return counted.select(F.inline(both)).groupBy("word", "other").agg(F.sum("n").alias("n"))
+
+
+def signs(words: list[str], vector_size: int = VECTOR_SIZE) -> np.ndarray:
+    """1 or -1 for each word and dimension: the bits of the word's MD5, hexadecimal digit by digit
+    and in each from the lowest."""
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest() for w in words), np.uint8)
+    bits = np.unpackbits(digests, bitorder="little").reshape(-1, 16, 2, 4)[:, :, ::-1]
+    return bits.reshape(-1, 128)[:, :vector_size].astype(np.int64) * 2 - 1
 
 
-# Training keeps a table of all words in every task and on the driver.
-MOST_WORDS = 5_000_000
-MOST_PARTITIONS = 64
+Values = Callable[[pa.RecordBatch], np.ndarray]
+
+
+def _sums(keys: pa.Array, values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct keys in order of first appearance, and the sums of their rows of ``values``."""
+    coded = keys.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return coded.dictionary, np.add.reduceat(values[order], first, axis=0)
+
+
+def _added_up(rows: DataFrame, key: str, values: Values) -> DataFrame:
+    """``key`` and ``vector``, the sum of the rows' ``values``; first inside tasks, then over all.
+
+    Rows come sorted by key, so a task holds one batch and one sum, however many rows a key has.
+    """
+    schema = T.StructType(
+        [T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.LongType()))]
+    )
+
+    def batch_of(keys: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+        offsets = pa.array((np.arange(len(total) + 1) * total.shape[1]).astype(np.int32))
+        vectors = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+        return pa.RecordBatch.from_arrays([keys, vectors], [key, "vector"])
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch_of(*_sums(batch.column(batch.schema.get_field_index(key)), values(batch)))
+
+    def wholly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_sum = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            own = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            keys, total = _sums(keys, own)
+            if open_sum is not None:
+                if keys[0] == open_key[0]:
+                    total[0] += open_sum[0]
+                else:
+                    yield batch_of(open_key, open_sum)
+            if len(keys) > 1:
+                yield batch_of(keys[:-1], total[:-1])
+            open_key, open_sum = keys[-1:], total[-1:]
+        if open_sum is not None:
+            yield batch_of(open_key, open_sum)
+
+    parts = rows.mapInArrow(partly, schema)
+    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(wholly, schema)
 
 
 def fit_embedding(
@@ -28,51 +133,54 @@ def fit_embedding(
     vector_size: int = VECTOR_SIZE,
     window: int = WINDOW,
     min_count: int = MIN_COUNT,
-    epochs: int = EPOCHS,
-    partitions: int | None = None,
-    seed: int = 42,
-) -> Word2VecModel:
-    """Word vectors over the whitespace tokens of the texts.
-
-    ``partitions`` tasks train side by side and are averaged after every epoch. The
-    number of words is checked before: it does not grow without limit, so a corpus
-    with too many distinct words is refused and needs a higher ``min_count``.
-    """
-    tokens = texts.select(split_tokens(F.col(text_col)).alias("tokens"))
-    n_words = (
-        tokens.select(F.explode("tokens").alias("word"))
-        .groupBy("word")
-        .count()
-        .filter(F.col("count") >= min_count)
-        .count()
-    )
-    if n_words > MOST_WORDS:
-        raise ValueError(
-            f"{n_words} words occur {min_count} times or more; raise min_count until "
-            f"there are at most {MOST_WORDS}"
-        )
-    if partitions is None:
-        cores = texts.sparkSession.sparkContext.defaultParallelism
-        partitions = max(1, min(cores, MOST_PARTITIONS))
-    return Word2Vec(
-        vectorSize=vector_size,
-        windowSize=window,
-        minCount=min_count,
-        maxIter=epochs,
-        numPartitions=partitions,
-        seed=seed,
-        inputCol="tokens",
-        outputCol="vector",
-    ).fit(tokens)
-
-
-def embed(
-    model: Word2VecModel, texts: DataFrame, id_col: str, text_col: str
 ) -> DataFrame:
-    """``(item_id, embedding array<float>)``: the mean of the word vectors of a text."""
-    tokens = texts.select(
-        F.col(id_col).alias("item_id"), split_tokens(F.col(text_col)).alias("tokens")
+    """``(word, vector array<bigint>)`` of all words with an association, in thousandths; written out."""
+    met = cut(together(texts, text_col, window, min_count), "together")
+    alone = met.groupBy("word").agg(F.sum("n").alias("own"))
+    total = met.agg(F.sum("n")).scalar()
+    others = alone.select(F.col("word").alias("other"), F.col("own").alias("its"))
+    gain = F.log(F.col("n") * total.cast("double") / (F.col("own") * F.col("its").cast("double")))
+    weighed = (
+        met.join(alone, "word")
+        .join(others, "other")
+        .select("word", "other", F.floor(gain * UNITS + 0.5).cast("bigint").alias("gain"))
+        .filter("gain > 0")
+    )
+    if not 1 <= vector_size <= 128:
+        raise ValueError("vectors have from 1 to 128 dimensions")
+
+    def signed(batch: pa.RecordBatch) -> np.ndarray:
+        other = batch.column(1).dictionary_encode()
+        each = signs(other.dictionary.to_pylist(), vector_size)
+        return each[other.indices.to_numpy()] * batch.column(2).to_numpy()[:, None]
+
+    return cut(_added_up(weighed, "word", signed), "word-vectors")
+
+
+def embed(words: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item_id, embedding array<double>)``: the mean of the known words' vectors of a text."""
+    ids = texts.select(F.col(id_col).alias("item_id"), split_tokens(F.col(text_col)).alias("t"))
+    counted = ids.select("item_id", F.explode("t").alias("word")).groupBy("item_id", "word").count()
+    first = words.first()
+    size = len(first["vector"]) if first else 0
+
+    def weighted(batch: pa.RecordBatch) -> np.ndarray:
+        vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+        count = batch.column(1).to_numpy()[:, None]
+        return np.hstack([vectors * count, count])
+
+    # the last entry is the number of words
+    total = _added_up(counted.join(words, "word").select("item_id", "count", "vector"), "item_id", weighted)
+    means = total.select(
+        "item_id",
+        F.transform(
+            F.slice("vector", 1, max(1, size)), lambda x: x / (F.element_at("vector", -1) * float(UNITS))
+        ).alias("embedding"),
     )
-    return model.transform(tokens).select(
-        "item_id", vector_to_array("vector", "float32").alias("embedding")
+    nothing = F.array_repeat(F.lit(0.0), size or VECTOR_SIZE)
+    return (
+        ids.select("item_id")
+        .distinct()
+        .join(means, "item_id", "left")
+        .select("item_id", F.coalesce("embedding", nothing).alias("embedding"))
     )

@@ -1,3 +1,9 @@
+import hashlib
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +130,54 @@ def test_names_fan_out_and_unknown_ids_stay(spark):
     assert {r["itemId"]: r["item_name"] for r in name_items(coded, items).collect()} == {1: "x", 9: None}
 
 
+def by_hand_embedding(texts, size, window, min_count):
+    met = Counter()
+    for t in texts.values():
+        words = (t or "").split()
+        for i, a in enumerate(words):
+            for b in words[i + 1 : i + 1 + window]:
+                met[min(a, b), max(a, b)] += 1
+    both = Counter()
+    for (a, b), n in met.items():
+        if n >= min_count:
+            both[a, b] += n
+            both[b, a] += n
+    own, total = Counter(), sum(both.values())
+    for (a, _), n in both.items():
+        own[a] += n
+    vectors = {w: [0] * size for w in own}
+    for (a, b), n in both.items():
+        gain = math.floor(math.log(n * total / (own[a] * own[b])) * 1000 + 0.5)
+        digest = hashlib.md5(b.encode()).hexdigest()
+        if gain > 0:
+            for d in range(size):
+                vectors[a][d] += gain * (1 if int(digest[d // 4], 16) >> (d % 4) & 1 else -1)
+    out = {}
+    for i, t in texts.items():
+        known = [vectors[w] for w in (t or "").split() if w in vectors and any(vectors[w])]
+        out[i] = [sum(v[d] for v in known) / (len(known) * 1000) if known else 0.0 for d in range(size)]
+    return out
+
+
 def test_embedding(spark):
-    rows = [(i, "sun sea sand" if i % 2 else "desk lamp chair") for i in range(40)]
-    texts = spark.createDataFrame(rows, "doc int, text string")
-    model = fit_embedding(texts, "text", vector_size=8, epochs=3, partitions=2)
-    out = embed(model, texts, "doc", "text")
-    assert out.dtypes == [("item_id", "int"), ("embedding", "array<float>")]
-    assert out.filter(F.size("embedding") == 8).count() == 40
+    rng = random.Random(1)
+    topics = ["sun sea sand sky salt".split(), "desk lamp chair book pen".split()]
+    texts = {i: " ".join(rng.choices(topics[i % 2], k=12)) for i in range(40)}
+    texts |= {100: "never seen words", 101: "", 102: None, 103: "sea"}
+    df = spark.createDataFrame(list(texts.items()), "doc int, text string")
+    for size, window, min_count in ((128, 5, 2), (7, 2, 3)):
+        words = fit_embedding(df, "text", vector_size=size, window=window, min_count=min_count)
+        got = embed(words, df, "doc", "text")
+        assert got.dtypes == [("item_id", "int"), ("embedding", "array<double>")]
+        found = {r.item_id: r.embedding for r in got.collect()}
+        expected = by_hand_embedding(texts, size, window, min_count)
+        assert found.keys() == expected.keys()
+        for i, vector in expected.items():
+            assert found[i] == pytest.approx(vector)
+    # alike are those of one topic; other partitions give the same vectors
+    vectors = {r.item_id: r.embedding for r in embed(fit_embedding(df, "text"), df, "doc", "text").collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in vectors.items() if any(v)}
+    assert min(unit[0] @ unit[i] for i in range(2, 40, 2)) > max(unit[0] @ unit[i] for i in range(1, 40, 2))
+    again = df.repartition(5)
+    assert {r.item_id: r.embedding for r in embed(fit_embedding(again, "text"), again, "doc", "text").collect()} == vectors
+    assert embed(fit_embedding(df.limit(0), "text"), df.limit(0), "doc", "text").count() == 0
