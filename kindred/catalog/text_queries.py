@@ -127,9 +127,7 @@ SELECT doc_id, {_basic_sql('nfc_normalize(lower(text))')} AS text FROM documents
 
 
 def full(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_full(
-        _documents(spark, folder), "text", dictionaries(spark), id_col="doc_id"
-    )
+    return clean_full(_documents(spark, folder), "text", dictionaries(spark))
 
 
 QUERIES["clean_full"] = full
@@ -143,7 +141,6 @@ def token_map(spark: SparkSession, folder: str) -> DataFrame:
         _documents(spark, folder),
         "text",
         _pairs(spark, SLANG.items()),
-        id_col="doc_id",
         lower=True,
         inline_limit=0,
     )
@@ -160,7 +157,6 @@ def token_block(spark: SparkSession, folder: str) -> DataFrame:
         _documents(spark, folder),
         "text",
         _tokens(spark, STOPWORDS),
-        id_col="doc_id",
         lower=True,
         min_length=2,
         inline_limit=0,
@@ -243,7 +239,6 @@ def corpus_vocab(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "conversations").select(
             F.col("conv_id").alias("doc_id"),
             "turn",
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
             F.col("text").alias("said"),
         ),
         key="doc_id",
@@ -251,7 +246,6 @@ def corpus_vocab(spark: SparkSession, folder: str) -> DataFrame:
         feedback_text="said",
         order_col="turn",
         dictionaries=dictionaries(spark),
-        feedback_id="row_id",
         max_features=FULL_CORPUS_FEATURES,
     )
     return index.model.terms.select("term", "df", "ctf", F.round("idf", 6).alias("idf"))

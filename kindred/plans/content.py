@@ -86,7 +86,6 @@ def index_corpus(
     feedback_text: str,
     order_col: str,
     dictionaries: Dictionaries,
-    feedback_id: str,
     max_features: int = FULL_CORPUS_FEATURES,
     min_df: int = MIN_DOCUMENTS,
     null_text: str = "",
@@ -94,12 +93,9 @@ def index_corpus(
     """Index item texts together with all feedback on them, both fully cleaned.
 
     The feedback of an item stays in pieces throughout; see ``segment_counts``.
-    ``feedback_id`` is unique per feedback row.
     """
-    own = clean_full(items, item_text, dictionaries, id_col=key, null_text=null_text)
-    said = clean_full(
-        feedback, feedback_text, dictionaries, id_col=feedback_id, null_text=null_text
-    )
+    own = clean_full(items, item_text, dictionaries, null_text=null_text)
+    said = clean_full(feedback, feedback_text, dictionaries, null_text=null_text)
     # cleaning is the costly part and the counts are read several times
     segments = cut(corpus_segments(own, said, key, item_text, feedback_text, order_col))
     counts = segment_counts(segments, key)

@@ -141,6 +141,20 @@ def test_dictionaries_with_repeated_and_null_entries(spark, inline_limit):
     assert gone.first()["text"] == "aa null"
 
 
+@pytest.mark.parametrize("inline_limit", [100, 0])
+def test_rows_without_an_id_or_with_a_repeated_one(spark, inline_limit):
+    rows = [(None, "aa cc"), (None, "aa cc"), (1, "aa bb"), (1, "aa bb"), (1, "bb dd"), (2, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    table = spark.createDataFrame([("aa", "x", 1), ("bb", "y z", 2)], "key string, value string, line_no bigint")
+    out = map_tokens(df, "text", table, inline_limit=inline_limit).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    expected = [(None, "x cc"), (None, "x cc"), (1, "x y z"), (1, "x y z"), (1, "y z dd"), (2, None)]
+    assert sorted(map(tuple, out), key=key) == sorted(expected, key=key)
+    left = drop_tokens(df, "text", words(spark, ["aa", "dd"]), inline_limit=inline_limit).collect()
+    expected = [(None, "cc"), (None, "cc"), (1, "bb"), (1, "bb"), (1, "bb"), (2, None)]
+    assert sorted(map(tuple, left), key=key) == sorted(expected, key=key)
+
+
 def test_symbols_are_replaced_in_order(spark):
     df = spark.createDataFrame([("hay :)) :) x",)], "text string")
     table = pairs(spark, {":))": "cười lớn", ":)": "cười", "lớn": "to"})
