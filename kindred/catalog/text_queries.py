@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.catalog.common import LIGHT_DOCUMENTS_SQL, table, term_ctes
-from kindred.functions.text import clean_light, clean_simple
+from kindred.functions.text import clean_light, clean_simple, split_tokens
 from kindred.operators.corpus import feedback_bag, item_corpus, length_profile
 from kindred.operators.dictionaries import (
     Dictionaries,
@@ -136,13 +136,12 @@ WITH {_full_ctes('documents', 'doc_id', 'done')} SELECT doc_id, text FROM done""
 
 
 def token_map(spark: SparkSession, folder: str) -> DataFrame:
-    """Slang lookup through the join, as a dictionary of any size would take it."""
+    """Slang lookup."""
     return map_tokens(
         _documents(spark, folder),
         "text",
         _pairs(spark, SLANG.items()),
         lower=True,
-        inline_limit=0,
     )
 
 
@@ -152,14 +151,13 @@ SELECT doc_id, {_map_sql('text', SLANG, 'lower(t)')} AS text FROM documents"""
 
 
 def token_block(spark: SparkSession, folder: str) -> DataFrame:
-    """Stopwords dropped through the anti join."""
+    """Stopwords dropped."""
     return drop_tokens(
         _documents(spark, folder),
         "text",
         _tokens(spark, STOPWORDS),
         lower=True,
         min_length=2,
-        inline_limit=0,
     )
 
 
@@ -176,6 +174,28 @@ QUERIES["emoji_replace"] = emoji_replace
 SQL["emoji_replace"] = f"SELECT doc_id, {_symbols_sql('text')} AS text FROM documents"
 
 
+def symbols_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Every longer word of the benchmark as a symbol, put between marks wherever it occurs."""
+    words = table(spark, folder, "benchmark").select(
+        F.explode(split_tokens(F.col("text"))).alias("key")
+    )
+    symbols = (
+        words.where(F.length("key") > 3)
+        .distinct()
+        .select("key", F.concat(F.lit("<"), "key", F.lit(">")).alias("value"), F.lit(0).alias("line_no"))
+    )
+    return replace_symbols(_documents(spark, folder), "text", symbols)
+
+
+QUERIES["symbols_many"] = symbols_many
+SQL["symbols_many"] = rf"""
+WITH words AS (SELECT DISTINCT unnest({_split('text')}) AS w FROM benchmark),
+symbols AS (SELECT list(w ORDER BY w) AS keys FROM words WHERE length(w) > 3)
+SELECT doc_id, list_reduce(
+         list_concat([text], keys), lambda a, k: replace(a, k, ' <' || k || '> ')) AS text
+FROM documents, symbols"""
+
+
 def _light_feedback(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("doc_id"), "turn", clean_light(F.col("text")).alias("said")

@@ -21,6 +21,7 @@ from kindred.functions.text import (
 )
 from kindred.operators.dictionaries import (
     Dictionaries,
+    _replacer,
     clean_full,
     drop_tokens,
     map_tokens,
@@ -102,14 +103,13 @@ def words(spark, tokens):
     return spark.createDataFrame([(t,) for t in tokens], "token string")
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_token_map(spark, inline_limit):
+def test_token_map(spark):
     texts = ["ko đẹp ko, KO", "ks  two words", "", None, "không"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
 
     def mapped(**options):
         out = map_tokens(
-            df, "text", pairs(spark, SLANG), id_col="id", inline_limit=inline_limit, **options
+            df, "text", pairs(spark, SLANG), id_col="id", **options
         )
         assert out.columns == ["id", "text"]
         return [r["text"] for r in out.orderBy("id").collect()]
@@ -118,39 +118,35 @@ def test_token_map(spark, inline_limit):
     assert mapped(lower=True)[0] == "không đẹp ko, không"
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_token_drop(spark, inline_limit):
+def test_token_drop(spark):
     texts = ["đẹp và Là x rẻ", "và", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     out = drop_tokens(
         df, "text", words(spark, STOP), id_col="id", lower=True, min_length=2,
-        inline_limit=inline_limit,
     )
     assert [r["text"] for r in out.orderBy("id").collect()] == ["đẹp rẻ", "", "", None]
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_dictionaries_with_repeated_and_null_entries(spark, inline_limit):
+def test_dictionaries_with_repeated_and_null_entries(spark):
     """The last line of a key counts, null entries do not; alike at every size."""
     df = spark.createDataFrame([(1, "aa bb null")], "id int, text string")
     rows = [("aa", "x", 1), ("aa", "b", 2), ("bb", None, 3), (None, "z", 4)]
     table = spark.createDataFrame(rows, "key string, value string, line_no bigint")
-    options = {"id_col": "id", "inline_limit": inline_limit}
+    options = {"id_col": "id"}
     assert map_tokens(df, "text", table, **options).first()["text"] == "b bb null"
     gone = drop_tokens(df, "text", words(spark, ["bb", None, "bb"]), **options)
     assert gone.first()["text"] == "aa null"
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_rows_without_an_id_or_with_a_repeated_one(spark, inline_limit):
+def test_rows_without_an_id_or_with_a_repeated_one(spark):
     rows = [(None, "aa cc"), (None, "aa cc"), (1, "aa bb"), (1, "aa bb"), (1, "bb dd"), (2, None)]
     df = spark.createDataFrame(rows, "id int, text string")
     table = spark.createDataFrame([("aa", "x", 1), ("bb", "y z", 2)], "key string, value string, line_no bigint")
-    out = map_tokens(df, "text", table, inline_limit=inline_limit).collect()
+    out = map_tokens(df, "text", table).collect()
     key = lambda r: (str(r[0]), str(r[1]))
     expected = [(None, "x cc"), (None, "x cc"), (1, "x y z"), (1, "x y z"), (1, "y z dd"), (2, None)]
     assert sorted(map(tuple, out), key=key) == sorted(expected, key=key)
-    left = drop_tokens(df, "text", words(spark, ["aa", "dd"]), inline_limit=inline_limit).collect()
+    left = drop_tokens(df, "text", words(spark, ["aa", "dd"])).collect()
     expected = [(None, "cc"), (None, "cc"), (1, "bb"), (1, "bb"), (1, "bb"), (2, None)]
     assert sorted(map(tuple, left), key=key) == sorted(expected, key=key)
 
@@ -162,6 +158,39 @@ def test_symbols_are_replaced_in_order(spark):
     assert out.split() == ["hay", "cười", "to", "cười", "x"]
 
 
+def in_turn(text, table):
+    for key, value in table:
+        text = text.replace(key, f" {value} ")
+    return text
+
+
+SYMBOL_TEXTS = st.text(alphabet="ab: )", max_size=25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SYMBOL_TEXTS, st.lists(st.tuples(st.text(alphabet="ab: )", min_size=1, max_size=3), st.text(alphabet="ab: )", max_size=3)),
+                              max_size=8, unique_by=lambda e: e[0]))
+def test_one_pass_gives_what_replacing_in_turn_gives(text, table):
+    """Overlapping keys, values that hold keys, keys across the border of a value."""
+    assert (_replacer(table)(text) if table else text) == in_turn(text, table)
+
+
+def test_symbols_in_blocks_and_at_the_edges(spark):
+    """A table applied in many blocks gives the same texts; nulls, empty keys, regex characters."""
+    table = [(f"]{i:x}^", f"v{i}") for i in range(300)] + [("v7", "seven"), ("-\\", "x"), ("n s", "ns")]
+    texts = ["]7^ a ]12b^]0^", "-\\ \U0001f600", "", None, "]12c^", "seven s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    symbols = pairs(spark, dict(table)).union(
+        spark.createDataFrame([("", "x", 0), (None, "y", 0), ("a", None, 0)], "key string, value string, line_no bigint")
+    )
+    expected = [None if t is None else in_turn(t, table) for t in texts]
+    for size in (10**6, 800):
+        out = replace_symbols(df, "text", symbols, size).orderBy("id").collect()
+        assert [r["text"] for r in out] == expected
+    none = symbols.limit(0)
+    assert [r["text"] for r in replace_symbols(df, "text", none).orderBy("id").collect()] == texts
+
+
 # (input, output) of all steps together, worked out by hand
 CLEANED = [
     ("Hotel nice ko 😀 bậy, ko. ks:) là x9", "khách sạn đẹp không vui vẻ ko khách sạn cười"),
@@ -174,8 +203,7 @@ CLEANED = [
 ]
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_full_pipeline(spark, inline_limit):
+def test_full_pipeline(spark):
     emoji = {"😀": "vui vẻ", ":)": "cười"}
     blocked, translation = ["bậy"], {"hotel": "khách sạn", "nice": "và đẹp"}
     texts = [text for text, _ in CLEANED]
@@ -187,10 +215,23 @@ def test_full_pipeline(spark, inline_limit):
         translation=pairs(spark, translation),
         stopwords=words(spark, STOP),
     )
-    out = clean_full(df, "text", tables, id_col="id", inline_limit=inline_limit)
+    out = clean_full(df, "text", tables, id_col="id")
     assert [r["text"] for r in out.orderBy("id").collect()] == [done for _, done in CLEANED]
 
 
+def test_full_pipeline_on_spellings_and_repeated_words(spark):
+    """Blocked words go by spelling, the rest by lower case; translations are checked for stopwords."""
+    df = spark.createDataFrame([(1, "xx yy zz"), (None, "xx yy zz"), (1, None), (1, "no")], "id int, text string")
+    tables = Dictionaries(
+        slang=pairs(spark, {"xx": "Bad bad", "yy": "GO on"}),
+        blocked=words(spark, ["bad", "no", None]),
+        translation=pairs(spark, {"go": "Und x geh", "bad": "böse", "on": ""}),
+        stopwords=words(spark, ["und", "zz"]),
+    )
+    out = clean_full(df, "text", tables).collect()
+    assert sorted(r["text"] for r in out) == ["", "", "böse geh", "böse geh"]
+
+
 def test_full_pipeline_without_dictionaries_drops_single_letters(spark):
     df = spark.createDataFrame([(1, "a bc d")], "id int, text string")
     assert clean_full(df, "text", Dictionaries(), id_col="id").first()["text"] == "bc"
