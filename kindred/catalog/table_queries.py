@@ -268,6 +268,25 @@ SQL["dict_scan"] = """
 SELECT p_name AS key, arg_max(p_brand, p_partkey) AS value FROM part GROUP BY p_name"""
 
 
+def dict_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Line numbers over two files of unequal size: a third of the parts, then the others."""
+    path = scratch_path(spark, "dictionary")
+    part = table(spark, folder, "part")
+    middle = part.agg((F.max("p_partkey") / 3).cast("bigint")).scalar()
+    for name, wanted in (("a", F.col("p_partkey") <= middle), ("b", F.col("p_partkey") > middle)):
+        part.where(wanted).orderBy("p_partkey").select(
+            F.concat_ws("\t", F.concat_ws(" ", "p_name", "p_partkey"), "p_brand")
+        ).write.text(f"{path}/{name}")
+    return read_pairs(spark, f"{path}/*").select("key", "value", "line_no")
+
+
+QUERIES["dict_lines"] = dict_lines
+SQL["dict_lines"] = """
+SELECT p_name || ' ' || p_partkey AS key, p_brand AS value,
+       row_number() OVER (ORDER BY p_partkey) AS line_no
+FROM part"""
+
+
 def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "vectors")
     write_vectors(vectors(spark, folder), path)
