@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from kindred.catalog.common import LIGHT_DOCUMENTS_SQL, table, term_ctes
 from kindred.functions.text import clean_light, clean_simple, split_tokens
-from kindred.operators.corpus import feedback_bag, item_corpus, length_profile
+from kindred.operators.corpus import (
+    bag_segments,
+    corpus_lengths,
+    feedback_bag,
+    item_corpus,
+    number_profile,
+)
 from kindred.operators.dictionaries import (
     Dictionaries,
     clean_full,
@@ -219,6 +225,26 @@ QUERIES["feedback_bag"] = bags
 SQL["feedback_bag"] = f"WITH {LIGHT_BAG_SQL} SELECT doc_id, bag FROM bag"
 
 
+# Characters of a part: short, so that the bags of the test tables have several.
+PART = 200
+
+
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The bags in parts of equal width."""
+    return bag_segments(_light_feedback(spark, folder), "doc_id", "said", "turn", width=PART, chunk=3)
+
+
+QUERIES["bag_segments"] = segments
+SQL["bag_segments"] = f"""
+WITH {LIGHT_BAG_SQL},
+parts AS (
+  SELECT doc_id, bag, unnest(range(0, greatest((length(bag) + {PART - 1}) // {PART}, 1))) AS part
+  FROM bag WHERE bag IS NOT NULL
+)
+SELECT doc_id, part, part * {PART} AS offset, substr(bag, part * {PART} + 1, {PART}) AS text
+FROM parts"""
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     bag = feedback_bag(_light_feedback(spark, folder), "doc_id", "said", "turn")
     return item_corpus(light(spark, folder), bag, "doc_id", "text")
@@ -235,7 +261,8 @@ SQL["item_corpus"] = f"WITH {_CORPUS_SQL} SELECT doc_id, corpus FROM corpus"
 
 
 def corpus_profile(spark: SparkSession, folder: str) -> DataFrame:
-    profile = length_profile(corpus(spark, folder), "corpus")
+    said = _light_feedback(spark, folder)
+    profile = number_profile(corpus_lengths(light(spark, folder), said, "doc_id", "text", "said"), "n")
     return profile.select(
         "count",
         *[F.round(F.col(c).cast("double"), 6).alias(c) for c in profile.columns[1:]],
