@@ -25,8 +25,16 @@ from kindred.operators.relevance import (
     sample_seeds,
 )
 from kindred.operators.terms import FULL_CORPUS_FEATURES
-from kindred.plans.content import Judgement, evaluate_content, index_texts, judge_by_users
-from kindred.session import cut
+from kindred.plans.content import (
+    Judgement,
+    evaluate_content,
+    index_texts,
+    judge_by_users,
+    store_evaluation,
+)
+from kindred.session import cut, scratch_path
+from kindred.sources.stores import run_stamp
+from kindred.sources.tables import read_csv
 
 QUERIES = {}
 SQL = {}
@@ -215,3 +223,28 @@ SELECT method || '_' || k AS label, method, k, round(avg(precision), 6) AS preci
        round(avg(map), 6) AS map, round(avg(ndcg_bin), 6) AS ndcg_bin,
        round(avg(ndcg_grd), 6) AS ndcg_grd
 FROM metrics GROUP BY method, k"""
+
+
+def eval_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of the stored vectors, kept as CSV under a run's id and read back with their means."""
+    per_seed = evaluate_content(
+        _judgement(spark, folder), vectors={"stored": vectors(spark, folder)}
+    )
+    paths = store_evaluation(per_seed, scratch_path(spark, "logs"), run_stamp(spark))
+    detail, means = (read_csv(spark, path, multi_line=False) for path in paths)
+    means = means.select("method", "k", *[F.col(m).alias(f"mean_{m}") for m in METRICS])
+    return detail.join(means, ["method", "k"]).select(
+        "method",
+        "seed_id",
+        F.col("k").cast("bigint").alias("k"),
+        *[F.round(F.col(c).cast("double"), 6).alias(c) for m in METRICS for c in (m, f"mean_{m}")],
+    )
+
+
+QUERIES["eval_files"] = eval_files
+SQL["eval_files"] = f"""
+WITH {_DENSE_METRICS_SQL}
+SELECT method, seed_id, k, {", ".join(
+    f"round({m}, 6) AS {m}, round(avg({m}) OVER (PARTITION BY method, k), 6) AS mean_{m}"
+    for m in METRICS
+)} FROM metrics"""

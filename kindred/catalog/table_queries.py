@@ -17,10 +17,15 @@ from kindred.functions.schema import (
 )
 from kindred.operators.corpus import table_shape
 from kindred.operators.neighbors import first_by_name
-from kindred.operators.recommendations import recommended_items, user_list
+from kindred.operators.recommendations import recommended_for_user, recommended_items, user_list
 from kindred.session import scratch_path
 from kindred.sources.stores import read_vectors, run_stamp, write_results, write_vectors
-from kindred.sources.tables import read_csv, read_pairs, read_recommendations
+from kindred.sources.tables import (
+    read_csv,
+    read_pairs,
+    read_recommendations,
+    read_token_set,
+)
 
 QUERIES = {}
 SQL = {}
@@ -191,9 +196,8 @@ SELECT item_name, seed_id,
 FROM first_id"""
 
 
-def recs_by_user(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user's best-rated purchase as a stored recommendation, looked up by name."""
-    parts = _named_parts(spark, folder)
+def _stored_recommendations(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
+    """Each user's best-rated purchase, written as recommendations and read back."""
     best = (
         purchases(spark, folder)
         .groupBy("user_key")
@@ -209,7 +213,13 @@ def recs_by_user(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = scratch_path(spark, "recommendations")
     stored.write.option("header", True).csv(path)
-    recommended = read_recommendations(spark, path)
+    return read_recommendations(spark, path)
+
+
+def recs_by_user(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored recommendations of everyone, looked up by name."""
+    parts = _named_parts(spark, folder)
+    recommended = _stored_recommendations(spark, folder, parts)
     everyone = recommended.select("UserName").distinct()
     return recommended_items(recommended, parts, everyone).select(
         "UserName", "RecommendedHotel", "item_id"
@@ -217,18 +227,36 @@ def recs_by_user(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["recs_by_user"] = recs_by_user
-SQL["recs_by_user"] = f"""
-WITH {PURCHASES_SQL},
+_STORED_SQL = f"""
+{PURCHASES_SQL},
 best AS (
   SELECT user_key, item_id FROM (
     SELECT user_key, item_id,
            row_number() OVER (PARTITION BY user_key ORDER BY rating DESC, row_id, item_id) AS n
     FROM purchases) WHERE n = 1
-)
-SELECT c_name AS UserName, a.p_name AS RecommendedHotel, b.p_partkey AS item_id
-FROM best JOIN customer ON c_custkey = user_key
-JOIN part a ON a.p_partkey = best.item_id
-JOIN part b ON b.p_name = a.p_name"""
+),
+details AS (
+  SELECT c_name AS UserName, a.p_name AS RecommendedHotel, b.p_partkey AS item_id
+  FROM best JOIN customer ON c_custkey = user_key
+  JOIN part a ON a.p_partkey = best.item_id
+  JOIN part b ON b.p_name = a.p_name
+)"""
+SQL["recs_by_user"] = f"WITH {_STORED_SQL} SELECT * FROM details"
+
+
+def recs_of_one(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored recommendations of the user whose name comes last."""
+    parts = _named_parts(spark, folder)
+    recommended = _stored_recommendations(spark, folder, parts)
+    user = recommended.agg(F.max("UserName")).first()[0]
+    return recommended_for_user(recommended, parts, user).select(
+        "UserName", "RecommendedHotel", "item_id"
+    )
+
+
+QUERIES["recs_of_one"] = recs_of_one
+SQL["recs_of_one"] = f"""
+WITH {_STORED_SQL} SELECT * FROM details WHERE UserName = (SELECT max(UserName) FROM details)"""
 
 
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,6 +315,19 @@ SELECT p_name || ' ' || p_partkey AS key, p_brand AS value,
 FROM part"""
 
 
+def token_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Brands as a file of tokens, one line per part: blank lines go, repeated tokens count once."""
+    path = scratch_path(spark, "tokens")
+    table(spark, folder, "part").select(
+        F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_brand"))
+    ).write.text(path)
+    return read_token_set(spark, path)
+
+
+QUERIES["token_scan"] = token_scan
+SQL["token_scan"] = "SELECT DISTINCT p_brand AS token FROM part WHERE p_size % 3 <> 0"
+
+
 def vector_store(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "vectors")
     write_vectors(vectors(spark, folder), path)

@@ -104,7 +104,7 @@ def _basic_sql(text: str) -> str:
     return f"trim({text})"
 
 
-def _full_ctes(source: str, id_cols: str, out: str) -> str:
+def full_ctes(source: str, id_cols: str, out: str) -> str:
     """The full pipeline one step at a time."""
     return f"""
 {out}_1 AS (SELECT {id_cols}, {_symbols_sql('nfc_normalize(lower(text))')} AS text FROM {source}),
@@ -132,13 +132,66 @@ SQL["clean_simple"] = f"""
 SELECT doc_id, {_basic_sql('nfc_normalize(lower(text))')} AS text FROM documents"""
 
 
+# What the texts of the test tables lack: by id, put in front of them.
+EXTRAS = {
+    1: "see HTTP://x.example/a?b=1 and www.y.example/z, ",
+    2: "cafe\u0301 A\u030angstro\u0308m \u1112\u1161\u11ab ",
+    3: "non\u00a0breaking\u2003spaces\u3000here ",
+    4: "mail me_2@host.example now ",
+}
+
+
+def _odd_documents(spark: SparkSession, folder: str) -> DataFrame:
+    turn = F.col("doc_id") % 6
+    extra = F.lit("")
+    for n, words in EXTRAS.items():
+        extra = F.when(turn == n, words).otherwise(extra)
+    text = F.when(turn != 5, F.concat(extra, "text"))
+    return _documents(spark, folder).select("doc_id", text.alias("text"))
+
+
+_ODD_SQL = f"""
+odd AS (
+  SELECT doc_id, CASE WHEN doc_id % 6 <> 5 THEN
+    CASE doc_id % 6 {" ".join(f"WHEN {n} THEN '{words}'" for n, words in EXTRAS.items())} ELSE '' END
+    || text ELSE '' END AS text
+  FROM documents
+)"""
+
+
+def odd_light(spark: SparkSession, folder: str) -> DataFrame:
+    """Light cleaning of texts with addresses, decomposed letters, other spaces and nulls."""
+    return _odd_documents(spark, folder).select("doc_id", clean_light(F.col("text")).alias("text"))
+
+
+QUERIES["clean_light_odd"] = odd_light
+SQL["clean_light_odd"] = rf"""
+WITH {_ODD_SQL}
+SELECT doc_id, trim(regexp_replace(nfc_normalize(lower(text)), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS text
+FROM odd"""
+
+
+def odd_simple(spark: SparkSession, folder: str) -> DataFrame:
+    """The same texts through the preset that takes addresses out."""
+    return _odd_documents(spark, folder).select("doc_id", clean_simple(F.col("text")).alias("text"))
+
+
+QUERIES["clean_simple_odd"] = odd_simple
+SQL["clean_simple_odd"] = f"""
+WITH {_ODD_SQL},
+spaced AS (
+  SELECT doc_id, regexp_replace(nfc_normalize(lower(text)), '[\u00a0\u2003\u3000]', ' ', 'g') AS text FROM odd
+)
+SELECT doc_id, {_basic_sql('text')} AS text FROM spaced"""
+
+
 def full(spark: SparkSession, folder: str) -> DataFrame:
     return clean_full(_documents(spark, folder), "text", dictionaries(spark))
 
 
 QUERIES["clean_full"] = full
 SQL["clean_full"] = f"""
-WITH {_full_ctes('documents', 'doc_id', 'done')} SELECT doc_id, text FROM done"""
+WITH {full_ctes('documents', 'doc_id', 'done')} SELECT doc_id, text FROM done"""
 
 
 def token_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,8 +353,8 @@ def corpus_vocab(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["corpus_vocab"] = corpus_vocab
 SQL["corpus_vocab"] = f"""
-WITH {_full_ctes('documents', 'doc_id', 'own')},
-{_full_ctes('conversations', 'conv_id, turn', 'said')},
+WITH {full_ctes('documents', 'doc_id', 'own')},
+{full_ctes('conversations', 'conv_id, turn', 'said')},
 bag AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS bag
         FROM said GROUP BY conv_id),
 corpus AS (SELECT doc_id, text || ' ' || coalesce(bag, '') AS text

@@ -14,6 +14,11 @@ MOST_RELEVANT = 1000
 MIN_RELEVANT = 2
 N_SEEDS = 300
 
+# A user with more items than this is dealt into slices, ...
+SLICE_ROWS = 100_000
+# ... unless that made more such users than this, the most that may be broadcast.
+MOST_BUSY = 10_000
+
 
 def distinct_pairs(
     interactions: DataFrame, user_col: str = "user_key", item_col: str = "item_id"
@@ -26,24 +31,64 @@ def distinct_pairs(
     )
 
 
+def busy_users(pairs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``(user_key, n_slices)`` of the users with more items than one slice holds.
+
+    A slice holds ``slice_rows`` items or, on very large tables, the part of all rows
+    that leaves fewer than ``MOST_BUSY`` users above it. So the result always has fewer rows
+    than that and can be broadcast, and no slice outgrows a small share of the table.
+    """
+    width = max(slice_rows, -(-pairs.count() // MOST_BUSY))
+    return (
+        pairs.groupBy("user_key")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") > width)
+        .select("user_key", F.ceil(F.col("n") / width).cast("int").alias("n_slices"))
+    )
+
+
+def partners(pairs: DataFrame, seed_pairs: DataFrame, busy: DataFrame) -> DataFrame:
+    """``(seed_id, item_id)`` once for every user they share, the seed itself left out.
+
+    The items of a busy user are dealt into slices by hash, and each of that user's
+    seeds goes to all of the slices, so the join's key is never hotter than one slice.
+    """
+    wide = F.broadcast(busy)
+    slices = F.coalesce("n_slices", F.lit(1))
+    dealt = pairs.join(wide, "user_key", "left").select(
+        "user_key", "item_id", F.pmod(F.xxhash64("item_id"), slices).alias("slice")
+    )
+    every = F.sequence(F.lit(0).cast("bigint"), (slices - 1).cast("bigint"))
+    copied = seed_pairs.join(wide, "user_key", "left").select(
+        "seed_id", "user_key", F.explode(every).alias("slice")
+    )
+    return (
+        dealt.join(copied, ["user_key", "slice"])
+        .filter(F.col("seed_id") != F.col("item_id"))
+        .select("seed_id", "item_id")
+    )
+
+
 def jaccard_relevance(
-    pairs: DataFrame, seeds: DataFrame, topn: int = MOST_RELEVANT
+    pairs: DataFrame,
+    seeds: DataFrame,
+    topn: int = MOST_RELEVANT,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``(seed_id, item_id, gain, rank)``: shared users over all users of both items.
 
     ``pairs`` are distinct, ``seeds(seed_id)`` name some items. Only rows of seed
     items look for partners, so a pair (user, item) is met once per seed of that user
     and the work is bounded by pairs times seeds however busy a user is; the union
-    comes from the three counts. A user with very many items makes one join key hot,
-    which adaptive execution splits.
+    comes from the three counts. A user with very many items is joined in slices.
+    ``pairs`` is read several times and had better be a written table.
     """
     holders = pairs.groupBy("item_id").agg(F.count("*").alias("n_users"))
     seed_pairs = pairs.join(
         seeds.select(F.col("seed_id").alias("item_id")).distinct(), "item_id", "left_semi"
     ).select(F.col("item_id").alias("seed_id"), "user_key")
     shared = (
-        pairs.join(seed_pairs, "user_key")
-        .filter(F.col("seed_id") != F.col("item_id"))
+        partners(pairs, seed_pairs, busy_users(pairs, slice_rows))
         .groupBy("seed_id", "item_id")
         .agg(F.count("*").alias("n_shared"))
     )
@@ -72,7 +117,7 @@ def evaluation_candidates(
     sized = pairs.join(degree, "user_key")
     settled = sized.filter(F.col("n_items") > min_relevant).select("item_id").distinct()
     few = sized.filter(F.col("n_items").between(2, min_relevant)).select("user_key", "item_id")
-    partners = (
+    shared = (
         few.join(few.withColumnRenamed("item_id", "other"), "user_key")
         .filter(F.col("item_id") != F.col("other"))
         .select("item_id", "other")
@@ -82,7 +127,7 @@ def evaluation_candidates(
         .filter(F.col("n") >= min_relevant)
         .select("item_id")
     )
-    candidates = settled.unionByName(partners).distinct()
+    candidates = settled.unionByName(shared).distinct()
     return items.select("item_id").join(candidates, "item_id", "left_semi")
 
 

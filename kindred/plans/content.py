@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.schema import RULES, Roles, Rule, join_all_strings, join_text, resolve_roles
 from kindred.functions.text import as_text, compose_unicode, fold_case
 from kindred.operators.corpus import corpus_segments
 from kindred.operators.dictionaries import Dictionaries, clean_full
@@ -20,6 +22,7 @@ from kindred.operators.ranking import (
     N_RECOMMENDED,
     evaluate,
     label_method,
+    summarize,
     union_methods,
 )
 from kindred.operators.relevance import (
@@ -38,6 +41,7 @@ from kindred.operators.terms import (
     term_counts,
 )
 from kindred.session import cut
+from kindred.sources.stores import write_results
 
 
 @dataclass(frozen=True)
@@ -103,6 +107,59 @@ def index_corpus(
     return _index(counts, ids, max_features, min_df)
 
 
+@dataclass(frozen=True)
+class ContentTables:
+    """Items and feedback with their roles found, and the index over all their text."""
+
+    roles: Roles
+    items: DataFrame
+    index: TextIndex
+
+
+def index_tables(
+    items: DataFrame,
+    feedback: DataFrame,
+    dictionaries: Dictionaries,
+    order_col: str,
+    *,
+    rules: Mapping[str, Rule] = RULES,
+    max_features: int = FULL_CORPUS_FEATURES,
+    min_df: int = MIN_DOCUMENTS,
+    null_text: str = "",
+) -> ContentTables:
+    """From loosely named tables to an index: roles, texts, cleaning, bags, weights.
+
+    An item's text is its description columns put together, a feedback row's text all of its string
+    columns; ``order_col`` is a whole number that orders the feedback. Feedback without a column
+    that joins it to items is left out. ``items`` of the result are ``(item_id, item_name)``.
+    """
+    roles = resolve_roles(items, feedback, rules)
+    own = items.select(
+        F.col(f"`{roles.item_id}`").alias("item_id"),
+        F.col(f"`{roles.item_name}`").alias("item_name"),
+        join_text(roles.text, null_text).alias("text"),
+    )
+    key = F.col(f"`{roles.join_key}`") if roles.join_key else F.lit(None)
+    said = feedback.select(
+        key.cast(own.schema["item_id"].dataType).alias("item_id"),
+        F.col(f"`{order_col}`").alias("order"),
+        join_all_strings(feedback, null_text).alias("said"),
+    ).filter(F.col("item_id").isNotNull())
+    index = index_corpus(
+        own.select("item_id", "text"),
+        said,
+        key="item_id",
+        item_text="text",
+        feedback_text="said",
+        order_col="order",
+        dictionaries=dictionaries,
+        max_features=max_features,
+        min_df=min_df,
+        null_text=null_text,
+    )
+    return ContentTables(roles, own.select("item_id", "item_name"), index)
+
+
 def similar_items(
     index: TextIndex, k: int, seeds: DataFrame | None = None
 ) -> DataFrame:
@@ -161,3 +218,13 @@ def evaluate_content(
     for method, items in (vectors or {}).items():
         add(method, items, similar_by_vector)
     return evaluate(union_methods(lists), judgement.relevance, union_methods(asked))
+
+
+def store_evaluation(per_seed: DataFrame, folder: str, run_id: str) -> tuple[str, str]:
+    """Write per-seed metrics and their means as CSV; the paths of both.
+
+    Each run has folders of its own, so earlier runs stay.
+    """
+    per_seed = cut(per_seed, "evaluation")
+    detail = write_results(per_seed, folder, "content_eval_results", run_id)
+    return detail, write_results(summarize(per_seed), folder, "content_eval_summary", run_id)

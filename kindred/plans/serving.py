@@ -28,12 +28,35 @@ def search(
     return similar_by_terms(as_seeds(weighed), index.vectors, k, keep_self=True)
 
 
+def search_rows(
+    index: TextIndex,
+    items: DataFrame,
+    queries: DataFrame,
+    id_col: str,
+    text_col: str,
+    k: int = PAGE,
+) -> DataFrame:
+    """The hits of :func:`search` with the whole rows of ``items(item_id, ...)``.
+
+    Only the rows of hits are looked for. An item that was indexed but has no row keeps its
+    hit with nulls. Columns of items named like those of a hit are refused.
+    """
+    taken = {"seed_id", "similarity", "rank"} & set(items.columns)
+    if taken:
+        raise ValueError(f"columns named like those of a hit: {', '.join(sorted(taken))}")
+    return search(index, queries, id_col, text_col, k).join(items, "item_id", "left")
+
+
 def similar_by_name(
-    items: DataFrame, vectors: DataFrame, names: DataFrame, k: int = PAGE
+    items: DataFrame, vectors: DataFrame | TextIndex, names: DataFrame, k: int = PAGE
 ) -> DataFrame:
     """Look-alikes of the first item of each requested name, with item names.
 
-    A name whose item has no vector gets no rows.
+    ``vectors`` are stored vectors or a text index. A name whose item has no vector gets no rows.
     """
     seeds = first_by_name(items, names)
-    return with_names(similar_by_vector(as_seeds(vectors, seeds), vectors, k), items)
+    if isinstance(vectors, TextIndex):
+        found = similar_by_terms(as_seeds(vectors.vectors, seeds), vectors.vectors, k)
+    else:
+        found = similar_by_vector(as_seeds(vectors, seeds), vectors, k)
+    return with_names(found, items)

@@ -26,8 +26,9 @@ from kindred.operators.recommendations import (
     recommended_items,
     user_list,
 )
-from kindred.plans.ratings import prepare_ratings, recommend_everyone
+from kindred.plans.ratings import prepare_ratings, recommend_everyone, store_search
 from kindred.sources.stores import load_als, save_als
+from kindred.sources.tables import read_csv
 
 
 @pytest.fixture(scope="module")
@@ -118,6 +119,19 @@ def test_search_and_recommend_to_everyone(spark, data):
     assert user_list(named, "UserName").first()[0] == "name0"
 
 
+def test_best_model_and_trials_are_kept(spark, data, tmp_path):
+    rows = [(1, 2, 0.05, 5, 0.9), (2, 4, 0.05, 5, 0.1), (3, 4, 0.5, 5, 0.1)]
+    trials = spark.createDataFrame(rows, "trial int, rank int, regParam double, maxIter int, rmse double")
+    kept = store_search(data, trials, str(tmp_path), "run")
+    back = read_csv(spark, kept.trials_path, multi_line=False)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+    model = load_als(kept.model_path)
+    assert model.rank == kept.model.rank == 4
+    items = spark.range(12).selectExpr("id AS item_id", "concat('Hotel ', id) AS item_name")
+    stored = recommend_everyone(data, trials, items, n=2, model=model)
+    assert sorted(stored.collect()) == sorted(recommend_everyone(data, trials, items, n=2).collect())
+
+
 def test_names_fan_out_and_unknown_ids_stay(spark):
     items = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "item_id int, item_name string")
     recs = spark.createDataFrame(

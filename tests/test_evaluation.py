@@ -1,12 +1,16 @@
 import random
+from collections import Counter
 
 import pytest
 
+from kindred.operators import relevance
 from kindred.operators.ranking import evaluate, summarize, union_methods
 from kindred.operators.relevance import (
+    busy_users,
     distinct_pairs,
     evaluation_candidates,
     jaccard_relevance,
+    partners,
     sample_seeds,
 )
 from kindred.plans.content import (
@@ -14,7 +18,10 @@ from kindred.plans.content import (
     evaluate_content,
     index_texts,
     judge_by_users,
+    store_evaluation,
 )
+from kindred.session import cut
+from kindred.sources.tables import read_csv
 
 
 def visits():
@@ -130,3 +137,47 @@ def test_whole_evaluation(spark):
     assert counts == {(m, k): n for m, n in (("tfidf", 25), ("stored", 10)) for k in (5, 10, 20)}
     # everybody shares the busy user, so every recommended item is relevant
     assert per_seed.filter("method = 'tfidf' AND precision < 1").isEmpty()
+
+
+def busy_visits(spark):
+    """One user holds a third of all rows, the others a few each."""
+    few = spark.range(2400).selectExpr("concat('u', id % 300) AS user_key", "CAST(id * 7 % 1200 AS INT) AS item_id")
+    return few.union(spark.range(1200).selectExpr("'busy'", "CAST(id AS INT)")).distinct()
+
+
+def test_slices_of_a_busy_user_give_the_same_relevance(spark):
+    pairs = cut(busy_visits(spark))
+    seeds = spark.range(5).selectExpr("CAST(id * 11 AS INT) AS seed_id")
+    whole = {tuple(r) for r in jaccard_relevance(pairs, seeds, 50).collect()}
+    assert whole == {tuple(r) for r in jaccard_relevance(pairs, seeds, 50, slice_rows=100).collect()}
+    assert len(whole) == 250
+
+
+def test_no_key_of_the_join_is_wider_than_a_slice(spark, monkeypatch):
+    pairs = busy_visits(spark)
+    assert [tuple(r) for r in busy_users(pairs, 100).collect()] == [("busy", 12)]
+    assert busy_users(pairs, 1200).isEmpty() and busy_users(pairs.limit(0), 100).isEmpty()
+    slices = pairs.filter("user_key = 'busy'").selectExpr("pmod(xxhash64(item_id), 12) AS s")
+    assert max(r["count"] for r in slices.groupBy("s").count().collect()) < 150
+    # however small the slices, the users above them stay few enough to broadcast
+    monkeypatch.setattr(relevance, "MOST_BUSY", 4)
+    assert busy_users(pairs, 1).count() < 4
+
+
+def test_partners_of_a_busy_user_are_dealt_out(spark):
+    pairs = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 1), ("b", 2)], "user_key string, item_id int")
+    seed_pairs = spark.createDataFrame([(1, "a"), (1, "b"), (7, "a")], "seed_id int, user_key string")
+    got = Counter(tuple(r) for r in partners(pairs, seed_pairs, busy_users(pairs, 8)).collect())
+    assert got == Counter([(1, 2)]) + Counter((s, i) for s in (1, 7) for i in range(40) if i != s)
+
+
+def test_evaluation_files_of_runs_stand_side_by_side(spark, tmp_path):
+    rows = [("m", 5, 1, 0.5, 0.25, 0.0, 1.0, 3), ("m", 5, 2, 0.0, 0.75, 1.0, 0.0, 1)]
+    names = "method string, k bigint, seed_id int, precision double, map double, ndcg_bin double, ndcg_grd double, n_rel bigint"
+    per_seed = spark.createDataFrame(rows, names)
+    first = store_evaluation(per_seed, str(tmp_path), "one")
+    store_evaluation(per_seed.limit(0), str(tmp_path), "two")
+    detail, means = (read_csv(spark, path, multi_line=False).collect() for path in first)
+    assert sorted(tuple(r) for r in detail) == rows
+    assert [(r["label"], r["precision"], r["map"], r["ndcg_bin"], r["ndcg_grd"]) for r in means] == [("m_5", 0.25, 0.5, 0.5, 0.5)]
+    assert len(list(tmp_path.iterdir())) == 4

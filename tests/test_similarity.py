@@ -14,6 +14,7 @@ from kindred.operators.corpus import (
     length_profile,
     table_shape,
 )
+from kindred.operators.dictionaries import Dictionaries
 from kindred.operators.neighbors import (
     UnknownSeedError,
     as_seeds,
@@ -23,8 +24,8 @@ from kindred.operators.neighbors import (
     unknown_seeds,
 )
 from kindred.operators.terms import fit_tfidf, segment_counts, spread_by_item, term_counts
-from kindred.plans.content import index_texts, similar_items
-from kindred.plans.serving import search, similar_by_name
+from kindred.plans.content import index_tables, index_texts, similar_items
+from kindred.plans.serving import search, search_rows, similar_by_name
 
 TEXTS = {
     1: "pool near the beach, quiet beach",
@@ -252,6 +253,54 @@ def test_by_name_uses_the_first_item_and_skips_one_without_a_vector(spark):
     ]
 
 
+def test_hits_with_item_rows(spark):
+    index = index_texts(texts_df(spark, TEXTS), "item_id", "text", 10_000)
+    rows = texts_df(spark, TEXTS).filter("item_id <> 1").selectExpr("item_id", "text", "item_id * 2 AS twice")
+    asked = spark.createDataFrame([(1, "quiet POOL, beach?"), (2, "")], "q bigint, words string")
+    plain = {tuple(r) for r in search(index, asked, "q", "words", 4).collect()}
+    got = search_rows(index, rows, asked, "q", "words", 4).collect()
+    assert {(r["seed_id"], r["item_id"], r["similarity"], r["rank"]) for r in got} == plain
+    for r in got:
+        known = r["item_id"] != 1
+        assert r["twice"] == (r["item_id"] * 2 if known else None)
+        assert r["text"] == (TEXTS[r["item_id"]] if known else None)
+    with pytest.raises(ValueError, match="rank"):
+        search_rows(index, rows.selectExpr("item_id", "1 AS rank"), asked, "q", "words")
+
+
+def test_by_name_over_words(spark):
+    items = spark.createDataFrame(
+        [(1, "x", "red house"), (2, "y", "red house lake"), (3, "x", "lake view"), (4, "z", "")],
+        "item_id bigint, item_name string, text string",
+    )
+    index = index_texts(items, "item_id", "text", 100)
+    got = similar_by_name(items, index, items.select("item_name").distinct(), k=2)
+    asked = items.filter("item_id IN (1, 2, 4)").selectExpr("item_id AS seed_id")
+    lists = {tuple(r) for r in similar_items(index, 2, asked).collect()}
+    assert {(r["seed_id"], r["item_id"], r["similarity"], r["rank"]) for r in got.collect()} == lists
+    assert {r["item_id"]: r["item_name"] for r in got.collect()} == {1: "x", 2: "y", 3: "x"}
+
+
+def test_tables_to_index(spark):
+    items = spark.createDataFrame(
+        [(1, "A", "Red house", None), (2, "B", "blue house", "lake"), (3, "C", None, None)],
+        "`Hotel ID` bigint, hotel_name string, Hotel_Description string, `Hotel_Description 2` string",
+    ).withColumnRenamed("Hotel ID", "Hotel_ID")
+    feedback = spark.createDataFrame(
+        [("1", 0, "Red"), ("1", 1, "lake"), ("3", 2, "blue house"), ("9", 3, "lost"), (None, 4, "lost")],
+        "Hotel_ID string, n int, said string",
+    )
+    none = Dictionaries()
+    found = index_tables(items, feedback, none, "n", min_df=1)
+    assert (found.roles.item_id, found.roles.join_key) == ("Hotel_ID", "Hotel_ID")
+    assert found.roles.text == ["Hotel_Description", "Hotel_Description 2"]
+    terms = {r["term"] for r in found.index.model.terms.collect()}
+    assert {"red house", "house red", "red lake", "house lake", "blue house"} <= terms and "lost" not in terms
+    assert sorted(r["item_id"] for r in found.index.vectors.collect()) == [1, 2, 3]
+    alone = index_tables(items, feedback.drop("Hotel_ID"), none, "n", min_df=1)
+    assert "lake" in {r["term"] for r in alone.index.model.terms.collect()} and alone.roles.join_key is None
+
+
 SAID = [(1, 3, "cc dd"), (1, 1, ""), (1, 0, "aa"), (1, 2, "bb"), (2, 0, "zz"), (9, 0, "lost")]
 
 
