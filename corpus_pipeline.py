@@ -31,8 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs are cut out; every document stays."""
-    return line_dedup.remove(docs).select(*docs.columns)
+    """Later repeated runs are cut out; every document stays.
+
+    Columns that are named like the operator's own are set aside meanwhile.
+    """
+    aside = {c: f"__aside_{c}" for c in line_dedup.ADDED if c in docs.columns}
+    cleaned = line_dedup.remove(docs.withColumnsRenamed(aside)).drop(*line_dedup.ADDED)
+    return cleaned.withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,9 @@ from kindred.llm.words import (
 )
 from kindred.session import cut
 
+#: Columns that :func:`remove` adds; those of the same name are replaced.
+ADDED = ("removed_words", "removed_spans")
+
 MIN_WORDS = 50
 RUN = 26
 WINDOW = MIN_WORDS - RUN + 1
@@ -346,9 +349,9 @@ def remove(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs deleted from ``text``.
 
     All columns are kept, ``n_chars`` is counted anew where there is one, and
-    ``removed_words`` and ``removed_spans`` (words of the old text) are added.
+    the columns ``ADDED`` (counts and spans, in words of the old text) are added.
     """
-    names = [c for c in docs.columns if c not in ("removed_words", "removed_spans")]
+    names = [c for c in docs.columns if c not in ADDED]
     spans = cut(repeated_spans(docs.withColumnRenamed(text_col, "text")), "spans").select(
         F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans")
     )

@@ -535,23 +535,57 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return rows.select("doc_id", "text_key").join(named, "text_key").drop("text_key")
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """``(doc_id, differ)`` of ids with several rows, and whether their texts differ."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return cut(
+        docs.select("doc_id", key.alias("k"))
+        .where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("n"), (F.min("k") != F.max("k")).alias("differ"))
+        .where("n > 1")
+        .select("doc_id", "differ"),
+        "repeated",
+    )
+
+
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs``, all columns kept, with one document of each group: the lowest id.
 
-    Rows without an id stay. Of rows that repeat both id and text one stays.
+    Rows without an id stay. Of rows that repeat both id and text one stays. Rows whose id bears
+    several texts are judged each by its own text; they count as later than all others, and among
+    themselves the order is that of a hash.
     """
     names = docs.columns
+    repeated = _repeated(docs)
+    shared = repeated.where("differ")
+    if shared.isEmpty():
+        return _keep_lowest(docs, repeated, similarity)
+    marked = docs.join(
+        shared.select(F.col("doc_id").alias("__shared")), F.col("doc_id") == F.col("__shared"), "left"
+    )
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+    apart = cut(
+        marked.select(
+            *[F.col(f"`{c}`") for c in names if c != "doc_id"],
+            F.col("doc_id").alias("__id"),
+            F.when(F.col("__shared").isNotNull(), own).otherwise(F.col("doc_id")).alias("doc_id"),
+        ),
+        "apart",
+    )
+    kept = _keep_lowest(apart, _repeated(apart), similarity)
+    return kept.drop("doc_id").withColumnRenamed("__id", "doc_id").select(*names)
+
+
+def _keep_lowest(docs: DataFrame, repeated: DataFrame, similarity: float) -> DataFrame:
+    """The same where no id bears different texts; ``repeated(doc_id)`` have several rows."""
+    names = docs.columns
     found = cut(groups(docs, similarity).where("doc_id <> group_id"), "copies")
     away = found.select(F.col("doc_id").alias("__away")).distinct()
     kept = docs.join(away, docs["doc_id"] == away["__away"], "left_anti")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    twice = cut(
-        docs.select("doc_id", key.alias("k")).where("doc_id IS NOT NULL").groupBy("doc_id", "k").count().where("count > 1"),
-        "twice",
-    )
-    if twice.isEmpty():
+    if repeated.isEmpty():
         return kept
-    several = twice.select(F.col("doc_id").alias("__twice")).distinct()
+    several = repeated.select(F.col("doc_id").alias("__twice"))
     once = kept.join(several, kept["doc_id"] == several["__twice"], "left_anti")
     rest = kept.join(several, kept["doc_id"] == several["__twice"], "left_semi")
     return once.select(*names).union(rest.dropDuplicates(["doc_id", "text"]).select(*names))
