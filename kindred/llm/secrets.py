@@ -45,7 +45,7 @@ SECRET_NAME = (
     r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential)[sS]?"
 )
 ASSIGNED = (
-    r"(?<=[=:\s\"'])(?<=" + SECRET_NAME + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
+    r"(?<=[=:\s\"'])(?<=[=:]\s{0,3}[\"']?)(?<=" + SECRET_NAME + r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
     r"[^\s\"'=:][^\s\"']{4,}[^\s\"',;.]"
 )
 PUBLISHED = r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|xox[abpr]-[A-Za-z0-9-]{10,})"
