@@ -187,6 +187,38 @@ def test_near_dedup_groups(spark):
     assert collections.Counter(ids) == collections.Counter([*{v for v in of.values()}, None])
 
 
+def by_hand_similarity(a, b):
+    """Weighted Jaccard of two dictionaries."""
+    both = a.keys() | b.keys()
+    return sum(min(a.get(s, 0), b.get(s, 0)) for s in both) / sum(max(a.get(s, 0), b.get(s, 0)) for s in both)
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Pairs on both sides of the similarity looked for: all pairs compared by hand are the truth."""
+    rng = random.Random(12)
+    rows = []
+    for base in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        for at in rng.sample(range(200), 1 + base % 6):
+            words[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    docs = documents(spark, rows)
+    idf = near_dedup.word_weights(docs)
+    shingles, weights, counts = near_dedup.weighted_shingles([t.encode() for _, t in rows], idf)
+    ends = np.cumsum(counts)
+    bags = [dict(zip(shingles[e - c : e].tolist(), weights[e - c : e].tolist())) for e, c in zip(ends, counts)]
+    alike = {
+        (i, j) for i, j in itertools.combinations(range(len(rows)), 2)
+        if bags[i].keys() & bags[j].keys() and by_hand_similarity(bags[i], bags[j]) >= 0.8
+    }
+    assert 60 < len(alike) < 150 and all(j == i + 1 and i % 2 == 0 for i, j in alike)
+    of = {r.doc_id: r.group_id for r in near_dedup.groups(docs).collect()}
+    found = {(i, i + 1) for i in range(0, len(rows), 2) if of[i] == of[i + 1]}
+    assert found <= alike and len(found) >= 0.95 * len(alike), (len(found), len(alike))
+    assert all(of[i] in (i, i - i % 2) for i in of)
+
+
 def test_near_dedup_edges(spark):
     docs = documents(spark, EDGES)
     got = {r.doc_id: (r.class_id, r.group_id, r.n_links) for r in near_dedup.groups(docs).collect()}
