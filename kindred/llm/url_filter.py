@@ -27,6 +27,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.session import cut
+
 # Rules of the query, as host/path and verdict.
 RULES = (
     ("org/", "allow"),
@@ -115,10 +117,13 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
         .groupBy("page_id")
         .agg(F.max("good").alias("good"))
     )
-    hosts = with_levels(
-        pages.join(labelled, "page_id", "left")
-        .groupBy("host")
-        .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    hosts = cut(
+        with_levels(
+            pages.join(labelled, "page_id", "left")
+            .groupBy("host")
+            .agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+        ),
+        "hosts",
     )
     total_n, total_good = hosts.agg(F.sum("n"), F.sum("good")).first()
     above = F.lit(((total_good or 0) + 1) / ((total_n or 0) + 2))
