@@ -247,7 +247,8 @@ def _search(data: DataFrame, is_query: Column, k: int, width: int) -> DataFrame:
     every = F.sequence(F.lit(0), F.col("nd") - 1)
     left = asked.join(sizes, "g").select(
         "g",
-        F.pmod(F.xxhash64("vec_id"), F.col("nq")).alias("bq"),
+        # both sides' keys must be of one type: cogrouping hashes them as they are
+        F.pmod(F.xxhash64("vec_id"), F.col("nq")).cast("int").alias("bq"),
         F.explode(every).alias("bd"),
         "vec_id",
         "v",

@@ -55,6 +55,21 @@ def test_knn_join_is_exact(spark, monkeypatch, per_pivot):
     assert {tuple(r) for r in got} == by_hand_top(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_knn_join_over_many_partitions(spark):
+    """Blocks find each other where shuffles are not brought together again."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        rng = np.random.default_rng(4)
+        rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+        got = knn_join.search(knn_join.whole_numbers(df), F.col("vec_id") % 10 == 0).collect()
+        assert {tuple(r) for r in got} == by_hand_top(rows, lambda i: i % 10 == 0, 5)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_knn_join_edges(spark):
     schema = "vec_id bigint, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0])], schema)
