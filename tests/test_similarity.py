@@ -167,6 +167,27 @@ def test_pruned_lists_are_exact_and_skip_blocks(spark, monkeypatch, kind, score)
     assert again.rows.select("item_id", "block").exceptAll(blocks.rows.select("item_id", "block")).isEmpty()
 
 
+def test_seeds_are_not_broadcast_and_move_once_to_a_part(spark, monkeypatch, capsys):
+    for name, size in (("GROUP_ROWS", 20), ("BLOCK_ROWS", 16)):
+        monkeypatch.setattr(topk, name, size)
+    monkeypatch.setattr(topk, "LEAST_PARTS", 2, raising=False)
+    rng = np.random.default_rng(4)
+    rows = {i: rng.random(6) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "item_id bigint, features array<double>")
+    blocks = topk.Blocks.of(df, topk.FACTORS)
+    assert blocks.summaries.count() == 19
+    top = blocks.top(as_seeds(df), 4, True)
+    same(ranking(top), brute_force(rows, rows, lambda a, b: float(a @ b), 4, True))
+    # lists of blocks are small in files however many they are, so Spark must not be left the choice
+    capsys.readouterr()
+    top.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin [seed_id" in plan and "BroadcastHashJoin [seed_id" not in plan
+    wanted, _ = blocks._searched(blocks.celled(blocks.grouped(as_seeds(df))), 4, True)
+    assert wanted.groupBy("seed_id", "_part").count().where("count > 1").isEmpty()
+    assert wanted.where("_part >= 0").groupBy("seed_id").count().where("count > 3").isEmpty()
+
+
 def test_sparse_blocks_of_other_topics_are_not_read(spark, monkeypatch):
     for name, size in (("GROUP_ROWS", 50), ("BLOCK_ROWS", 20), ("PER_PIVOT", 10)):
         monkeypatch.setattr(topk, name, size)
