@@ -195,3 +195,30 @@ def test_embedding(spark):
     again = df.repartition(5)
     assert {r.item_id: r.embedding for r in embed(fit_embedding(again, "text"), again, "doc", "text").collect()} == vectors
     assert embed(fit_embedding(df.limit(0), "text"), df.limit(0), "doc", "text").count() == 0
+
+
+def test_fits_delete_their_shuffles_and_sums_per_user_are_not_moved(spark, monkeypatch, capsys):
+    import kindred.operators.collaborative as collaborative
+
+    asked = []
+
+    class Watched(collaborative.ALS):
+        def __init__(self, **settings):
+            asked.append(settings["checkpointInterval"])
+            super().__init__(**settings)
+
+    monkeypatch.setattr(collaborative, "ALS", Watched)
+    train = spark.range(60).selectExpr(
+        "cast(id % 9 as int) userId", "cast(id % 7 as int) itemId", "1.0 + id % 5 as rating"
+    )
+    model = fit_als(train, 3, 0.05, 4)
+    grid_search(train, train, param_grid(spark, [2], [0.1], [2]))
+    assert asked == [2, 1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        capsys.readouterr()
+        optimality(model, train, 0.05).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # by item, then by user with the factors; the sums stay where they are
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 4
