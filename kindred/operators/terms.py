@@ -20,6 +20,9 @@ MIN_DOCUMENTS = 2
 # A vocabulary of up to this many terms (some tens of megabytes) is broadcast.
 BROADCAST_TERMS = 500_000
 
+#: Into how many parts the texts of one part of the input are dealt.
+PARTS = 8
+
 
 def spread_by_item(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(item_id, text)`` with whole texts spread by item.
@@ -28,10 +31,13 @@ def spread_by_item(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     it keeps all cores busy whatever the file layout, and counting and weighing per
     item then need no further shuffle. Python functions (NFC) belong before this
     step, as Spark forgets the partitioning behind them.
+
+    The number of parts follows the input and is fixed: left to itself, Spark would put small texts
+    together until a part has many times its size in terms.
     """
-    return texts.select(
-        F.col(id_col).alias("item_id"), F.col(text_col).alias("text")
-    ).repartition("item_id")
+    rows = texts.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, PARTS * rows.rdd.getNumPartitions()), "item_id")
 
 
 def _terms(tokens: DataFrame) -> DataFrame:
@@ -44,10 +50,30 @@ def _terms(tokens: DataFrame) -> DataFrame:
 def term_counts(texts: DataFrame) -> DataFrame:
     """``(item_id, term, tf)`` of words and word pairs, from one text per item.
 
-    Best on the output of :func:`spread_by_item`, where it needs no shuffle.
+    Best on the output of :func:`spread_by_item`, where it needs no shuffle. Terms are sorted and
+    counted inside the row of an item (the texts of a repeated id are one row), so a task holds the terms of one
+    item at a time.
     """
-    tokens = texts.select("item_id", term_tokens(F.col("text")).alias("_tokens"))
-    return _terms(tokens).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+    own = texts.groupBy("item_id").agg(F.collect_list("text").alias("_texts"))
+    tokens = F.transform("_texts", term_tokens)
+    ordered = own.select("item_id", tokens.alias("_tokens")).select(
+        "item_id", F.array_sort(F.flatten(F.transform("_tokens", unigrams_and_bigrams))).alias("_terms")
+    )
+    # where runs of equal terms begin; each lasts until the next
+    begins = F.filter(
+        F.sequence(F.lit(1), F.size("_terms")),
+        lambda i: (i == 1) | (F.get("_terms", i - 1) != F.get("_terms", i - 2)),
+    )
+    runs = ordered.filter(F.size("_terms") > 0).select("item_id", "_terms", begins.alias("_begins"))
+    ends = F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.array(F.size("_terms") + 1))
+    counted = F.zip_with(
+        "_begins",
+        ends,
+        lambda begin, end: F.struct(
+            F.get("_terms", begin - 1).alias("term"), (end - begin).cast("bigint").alias("tf")
+        ),
+    )
+    return runs.select("item_id", F.inline(counted))
 
 
 def segment_counts(

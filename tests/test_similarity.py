@@ -373,3 +373,21 @@ def test_profile_and_shape(spark):
     one = length_profile(df.filter("t = 'x'"), "t").first()
     assert one["std"] is None
     assert tuple(table_shape(df).first()) == (6, 1)
+
+
+def test_terms_are_counted_inside_a_row(spark, capsys):
+    rows = [(1, "b a a b"), (1, "a b"), (2, ""), (None, "aa bb aa bb"), (3, "aa bb"), (3, None), (3, "aa"), (4, "x")]
+    df = spark.createDataFrame(rows, "item_id bigint, text string")
+    spread = spread_by_item(df, "item_id", "text")
+    counts = term_counts(spread)
+    got = {(r["item_id"], r["term"]): r["tf"] for r in counts.collect()}
+    assert got == {
+        (None, "aa"): 2, (None, "bb"): 2, (None, "aa bb"): 2, (None, "bb aa"): 1,
+        (3, "aa"): 2, (3, "bb"): 1, (3, "aa bb"): 1,
+    }
+    # no table of all terms of a task, and parts are not put together by their size before terms are made
+    capsys.readouterr()
+    counts.explain()
+    plan = capsys.readouterr().out
+    assert "term" not in "".join(line for line in plan.splitlines() if "Aggregate(keys" in line)
+    assert "REPARTITION_BY_NUM" in plan
