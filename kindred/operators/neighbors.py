@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.operators.topk import TERMS, VECTORS, Blocks
+from kindred.operators.topk import TERMS, VECTORS, top
 
 
 def similar_by_terms(
@@ -22,7 +22,7 @@ def similar_by_terms(
     ``seeds(seed_id, idx, weight)`` are items, or queries weighed with the same
     vocabulary (then with ``keep_self``).
     """
-    return Blocks.of(items, TERMS).top(seeds, k, keep_self)
+    return top(items, seeds, TERMS, k, keep_self)
 
 
 def similar_by_vector(
@@ -32,7 +32,7 @@ def similar_by_vector(
 
     All vectors have one length; a zero vector has similarity 0 to everything.
     """
-    return Blocks.of(items, VECTORS).top(seeds, k, keep_self)
+    return top(items, seeds, VECTORS, k, keep_self)
 
 
 def as_seeds(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

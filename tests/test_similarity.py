@@ -391,3 +391,21 @@ def test_terms_are_counted_inside_a_row(spark, capsys):
     plan = capsys.readouterr().out
     assert "term" not in "".join(line for line in plan.splitlines() if "Aggregate(keys" in line)
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("keep_self", [False, True])
+def test_few_seeds_meet_all_items_without_clusters(spark, monkeypatch, keep_self):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+
+    def clusters(*_):
+        raise AssertionError("a few seeds need no clusters")
+
+    monkeypatch.setattr(topk, "_assigned", clusters)
+    rng = np.random.default_rng(6)
+    texts = {i: " ".join(rng.choice(WORDS, rng.integers(0, 9))) for i in range(400)}
+    index = index_texts(texts_df(spark, texts), "item_id", "text", 60)
+    weights = py_tfidf(texts, 60)
+    seeds = as_seeds(index.vectors).where("seed_id % 40 = 3")
+    chosen = {s: w for s, w in weights.items() if s % 40 == 3}
+    found = topk.top(index.vectors, seeds, topk.TERMS, 7, keep_self)
+    same(ranking(found), py_ranking(chosen, weights, 7, keep_self=keep_self))
