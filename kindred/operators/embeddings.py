@@ -17,10 +17,12 @@ repeat an id are one text of all their words; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,10 @@ MIN_COUNT = 2
 
 #: Associations are rounded to this fraction.
 UNITS = 1000
+#: Texts that share the vectors of their words, and parts of the words of each such block.
+BLOCK_TEXTS, SLICES = 8_192, 4
+#: Rows of counts that are multiplied at a time.
+CHUNK_ROWS = 16_384
 
 
 def together(texts: DataFrame, text_col: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
@@ -85,9 +91,10 @@ def _sums(keys: pa.Array, values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _added_up(rows: DataFrame, key: str, values: Values) -> DataFrame:
-    """``key`` and ``vector``, the sum of the rows' ``values``; first inside tasks, then over all.
+    """``key`` and ``vector``, the sum of the rows' ``values``.
 
-    Rows come sorted by key, so a task holds one batch and one sum, however many rows a key has.
+    Rows are moved as they are, before they have values, which are many times their size. They come sorted by
+    key, so a task holds one batch and one sum, however many rows a key has.
     """
     schema = T.StructType(
         [T.StructField(key, rows.schema[key].dataType), T.StructField("vector", T.ArrayType(T.LongType()))]
@@ -122,8 +129,8 @@ def _added_up(rows: DataFrame, key: str, values: Values) -> DataFrame:
         if open_sum is not None:
             yield batch_of(open_key, open_sum)
 
-    parts = rows.mapInArrow(partly, schema)
-    return parts.repartition(key).sortWithinPartitions(key).mapInArrow(wholly, schema)
+    by_key = rows.repartition(key).sortWithinPartitions(key)
+    return by_key.mapInArrow(partly, schema).mapInArrow(wholly, schema)
 
 
 def fit_embedding(
@@ -160,17 +167,47 @@ def fit_embedding(
 def embed(words: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(item_id, embedding array<double>)``: the mean of the known words' vectors of a text."""
     ids = texts.select(F.col(id_col).alias("item_id"), split_tokens(F.col(text_col)).alias("t"))
-    counted = ids.select("item_id", F.explode("t").alias("word")).groupBy("item_id", "word").count()
+    blocks = max(1, math.ceil(texts.count() / BLOCK_TEXTS))
+    # rows without an id find no mean in the end
+    counted = cut(
+        ids.filter(F.col("item_id").isNotNull())
+        .select("item_id", F.explode("t").alias("word"))
+        .groupBy("item_id", "word")
+        .count()
+        .withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+        .withColumn("_slice", F.pmod(F.xxhash64("word"), F.lit(SLICES))),
+        "word-counts",
+    )
     first = words.first()
     size = len(first["vector"]) if first else 0
-
-    def weighted(batch: pa.RecordBatch) -> np.ndarray:
-        vectors = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-        count = batch.column(1).to_numpy()[:, None]
-        return np.hstack([vectors * count, count])
+    # a word's vector goes once to a block of texts, not to each of them
+    wanted = counted.select(F.col("_block").alias("_of"), F.col("_slice").alias("_at"), "word").distinct()
+    known = wanted.join(words, "word").select("_of", "_at", F.col("word").alias("known"), "vector")
+
+    def multiplied(own: pa.Table, vectors: pa.Table) -> pa.Table:
+        place = pc.index_in(own["word"].combine_chunks(), value_set=vectors["known"].combine_chunks())
+        own = own.select(["item_id", "count"]).append_column("place", place).filter(place.is_valid()).sort_by("item_id")
+        table = pc.list_flatten(vectors["vector"]).to_numpy().reshape(vectors.num_rows, -1)
+        coded = own["item_id"].combine_chunks().dictionary_encode()
+        codes, place, count = coded.indices.to_numpy(), own["place"].to_numpy(), own["count"].to_numpy()
+        total = np.zeros((len(coded.dictionary), size + 1), np.int64)
+        for begin in range(0, len(codes), CHUNK_ROWS):
+            at = slice(begin, begin + CHUNK_ROWS)
+            starts = np.flatnonzero(np.diff(codes[at], prepend=-1))
+            each = np.hstack([table[place[at]] * count[at, None], count[at, None]])
+            total[codes[at][starts]] += np.add.reduceat(each, starts, axis=0)
+        offsets = pa.array((np.arange(len(total) + 1) * (size + 1)).astype(np.int32))
+        sums = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+        return pa.table({"item_id": coded.dictionary, "vector": sums})
+
+    schema = T.StructType([counted.schema["item_id"], T.StructField("vector", T.ArrayType(T.LongType()))])
+    parts = counted.groupBy("_block", "_slice").cogroup(known.groupBy("_of", "_at")).applyInArrow(multiplied, schema)
+
+    def summed(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
 
     # the last entry is the number of words
-    total = _added_up(counted.join(words, "word").select("item_id", "count", "vector"), "item_id", weighted)
+    total = _added_up(parts, "item_id", summed)
     means = total.select(
         "item_id",
         F.transform(

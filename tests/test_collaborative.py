@@ -222,3 +222,23 @@ def test_fits_delete_their_shuffles_and_sums_per_user_are_not_moved(spark, monke
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # by item, then by user with the factors; the sums stay where they are
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 4
+
+
+def test_word_vectors_go_once_to_a_block_of_texts(spark, monkeypatch, capsys):
+    import kindred.operators.embeddings as embeddings
+
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i % 20, " ".join(words[(i * j) % 12] for j in range(9))) for i in range(23)]
+    rows += [(None, "w1 w2"), (21, "unknown"), (22, ""), (23, None)]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    fitted = fit_embedding(texts.select("text"), "text")
+    whole = {r["item_id"]: r["embedding"] for r in embed(fitted, texts, "id", "text").collect()}
+    for name, size in (("BLOCK_TEXTS", 4), ("SLICES", 3), ("CHUNK_ROWS", 5)):
+        monkeypatch.setattr(embeddings, name, size)
+    again = embed(fitted, texts, "id", "text")
+    assert {r["item_id"]: r["embedding"] for r in again.collect()} == whole
+    assert set(whole) == {*range(20), None, 21, 22, 23} and any(whole[1])
+    assert not any(whole[None]) and not any(whole[21]) and not any(whole[22])
+    # counts meet vectors by block; no join puts a vector beside each count
+    again.explain()
+    assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
