@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kindred.functions.text import first_and_last_term, term_tokens
 from kindred.operators import topk
 
 
@@ -32,3 +34,17 @@ def test_pairs_chosen_in_single_precision_are_those_of_exact_scores(floor):
 def test_values_beyond_single_precision_are_left_to_exact_products():
     assert topk.Single.of(np.array([[1e200, 0.0]])) is None
     assert topk.Single.of(np.array([[np.nan, 0.0]])) is None
+
+
+def test_edge_words_are_the_outermost_terms(spark):
+    texts = [
+        "", " ", "a b c", "one", "x one y", "one two", "Ünï größer, ΟΔΟΣ.", "a_b  c1 ", "\U00010400\U00010401 z zz",
+        "ét́ cafés", "東京 大阪 x", None, "1 22 333 4", "İstanbul İ",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    first, last = first_and_last_term(F.col("text"))
+    tokens = term_tokens(F.col("text"))
+    rows = df.select(tokens.alias("t"), first.alias("a"), last.alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [
+        (None, None) if r["t"] is None else (r["t"][0], r["t"][-1]) if r["t"] else ("", "") for r in rows
+    ]
