@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kindred.functions.hashing import mix
 from kindred.operators.topk import top_per_seed
+from kindred.session import cut
 
 # Relevance lists, candidates and sample of the evaluation.
 MOST_RELEVANT = 1000
@@ -104,6 +105,12 @@ def jaccard_relevance(
     return top_per_seed(scored, "gain", topn)
 
 
+def users_of_few_items(pairs: DataFrame, most: int) -> DataFrame:
+    """``(user_key, n_items)`` of the users with at most ``most`` items, written out."""
+    degree = pairs.groupBy("user_key").agg(F.count("*").alias("n_items"))
+    return cut(degree.filter(F.col("n_items") <= most), "few-items")
+
+
 def evaluation_candidates(
     pairs: DataFrame, items: DataFrame, min_relevant: int = MIN_RELEVANT
 ) -> DataFrame:
@@ -111,12 +118,12 @@ def evaluation_candidates(
 
     A user with more than ``min_relevant`` items settles it for all of them. Only the
     remaining users, whose items are few, are paired up, so the cost is linear in the
-    pairs.
+    pairs. These users are written first: where they are no large table, the pairs need not be moved to be
+    told apart by them.
     """
-    degree = pairs.groupBy("user_key").agg(F.count("*").alias("n_items"))
-    sized = pairs.join(degree, "user_key")
-    settled = sized.filter(F.col("n_items") > min_relevant).select("item_id").distinct()
-    few = sized.filter(F.col("n_items").between(2, min_relevant)).select("user_key", "item_id")
+    rare = users_of_few_items(pairs, min_relevant)
+    settled = pairs.join(rare, "user_key", "left_anti").select("item_id").distinct()
+    few = pairs.join(rare.filter("n_items > 1"), "user_key", "left_semi").select("user_key", "item_id")
     shared = (
         few.join(few.withColumnRenamed("item_id", "other"), "user_key")
         .filter(F.col("item_id") != F.col("other"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.text import first_and_last_term, term_tokens
 from kindred.operators import topk
+from kindred.operators.relevance import evaluation_candidates, users_of_few_items
 
 
 @pytest.mark.parametrize("floor", ["none", "some", "all"])
@@ -48,3 +49,15 @@ def test_edge_words_are_the_outermost_terms(spark):
     assert [(r["a"], r["b"]) for r in rows] == [
         (None, None) if r["t"] is None else (r["t"][0], r["t"][-1]) if r["t"] else ("", "") for r in rows
     ]
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_only_users_of_few_items_are_told_apart(spark, least):
+    bought = {1: [1], 2: [1, 2], 3: [3, 4, 5], 4: [2, 6], 5: [7, 8], 6: list(range(20, 30)), 7: [9, 10, 11, 12]}
+    pairs = spark.createDataFrame([(u, i) for u, own in bought.items() for i in own], "user_key int, item_id int")
+    rare = {r["user_key"]: r["n_items"] for r in users_of_few_items(pairs, least).collect()}
+    assert rare == {u: len(own) for u, own in bought.items() if len(own) <= least}
+    partners = {i: {j for own in bought.values() if i in own for j in own if j != i} for i in range(1, 30)}
+    items = spark.createDataFrame([(i,) for i in range(1, 25)], "item_id int")
+    found = sorted(r["item_id"] for r in evaluation_candidates(pairs, items, least).collect())
+    assert found == [i for i in range(1, 25) if len(partners[i]) >= least]
