@@ -1,11 +1,15 @@
 """What keeps time and memory of large inputs in bounds, against the plain way."""
 
+import weakref
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions.text import first_and_last_term, term_tokens
 from kindred.operators import topk
+from kindred.operators.dictionaries import _replaced_slices, replace_symbols
 from kindred.operators.relevance import evaluation_candidates, users_of_few_items
 
 
@@ -51,6 +55,35 @@ def test_edge_words_are_the_outermost_terms(spark):
     ]
 
 
+def test_texts_of_a_batch_are_not_python_strings_all_at_once():
+    texts = pa.array([None if i % 7 == 0 else f"te一xt {i} " * (i % 50) for i in range(400)])
+    alive, most = weakref.WeakSet(), 0
+
+    class Text(str):
+        """A string that can be counted."""
+
+    def replace(text):
+        nonlocal most
+        new = Text(text.replace("x", " <x> "))
+        alive.add(new)
+        most = max(most, len(alive))
+        return new
+
+    slices = _replaced_slices(texts, replace, characters=1_000)
+    assert pa.concat_arrays(slices).to_pylist() == [
+        None if t is None else t.replace("x", " <x> ") for t in texts.to_pylist()
+    ]
+    assert most < 100
+
+
+def test_symbols_in_texts_of_many_rows(spark):
+    texts = [None if i % 11 == 0 else f"b{i} ab一 a" * (i % 5) for i in range(3_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    symbols = spark.createDataFrame([("a", "b", 0), ("b", "<c>", 1)], "key string, value string, line_no int")
+    found = [r["text"] for r in replace_symbols(df, "text", symbols).orderBy("id").collect()]
+    assert found == [t and t.replace("a", " b ").replace("b", " <c> ") for t in texts]
+
+
 @pytest.mark.parametrize("least", [1, 2, 4])
 def test_only_users_of_few_items_are_told_apart(spark, least):
     bought = {1: [1], 2: [1, 2], 3: [3, 4, 5], 4: [2, 6], 5: [7, 8], 6: list(range(20, 30)), 7: [9, 10, 11, 12]}
