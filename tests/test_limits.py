@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions.text import first_and_last_term, term_tokens
-from kindred.operators import topk
+from kindred.operators import recommendations, topk
 from kindred.operators.dictionaries import _replaced_slices, replace_symbols
 from kindred.operators.relevance import evaluation_candidates, users_of_few_items
 
@@ -94,3 +94,32 @@ def test_only_users_of_few_items_are_told_apart(spark, least):
     items = spark.createDataFrame([(i,) for i in range(1, 25)], "item_id int")
     found = sorted(r["item_id"] for r in evaluation_candidates(pairs, items, least).collect())
     assert found == [i for i in range(1, 25) if len(partners[i]) >= least]
+
+
+def test_names_of_many_items_are_cut_into_tiles(spark, tmp_path):
+    recs = spark.createDataFrame(
+        [(f"u{i}", "x") for i in range(4_500)] + [("u1", "x"), (None, "x"), ("u2", "y"), ("u3", None), ("u4", "gone")],
+        "UserName string, RecommendedHotel string",
+    )
+    items = spark.createDataFrame(
+        [(i, "x", i % 7) for i in range(5_000)] + [(-1, "y", 1), (-1, "y", 1), (-2, None, 1), (-3, "z", 1)],
+        "item_id long, item_name string, stars int",
+    )
+    found = recommendations.recommended_items(recs, items)
+    assert found.columns == [*recs.columns, *items.columns]
+    path = str(tmp_path / "found")
+    found.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    plain = recs.join(items, recs["RecommendedHotel"] == items["item_name"])
+    sums = [F.count("*"), F.sum(F.pmod(F.xxhash64(*found.columns), F.lit(1 << 31)))]
+    assert kept.agg(*sums).first() == plain.agg(*sums).first()
+    # one name fills several tasks, and takes a small part of a byte a row
+    assert kept.where("item_name = 'x'").select("part").distinct().count() > 1
+    size = sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet"))
+    assert size < kept.count() / 4
+
+
+def test_no_name_in_common_gives_no_rows(spark):
+    recs = spark.createDataFrame([("a", "x")], "UserName string, RecommendedHotel string")
+    items = spark.createDataFrame([(1, "y")], "item_id int, item_name string")
+    assert recommendations.recommended_items(recs, items).count() == 0
