@@ -26,6 +26,7 @@ from kindred.operators.neighbors import (
 from kindred.operators.terms import fit_tfidf, segment_counts, spread_by_item, term_counts
 from kindred.plans.content import index_tables, index_texts, similar_items
 from kindred.plans.serving import search, search_rows, similar_by_name
+from kindred.session import cut
 
 TEXTS = {
     1: "pool near the beach, quiet beach",
@@ -188,6 +189,29 @@ def test_seeds_are_not_broadcast_and_move_once_to_a_part(spark, monkeypatch, cap
     assert wanted.where("_part >= 0").groupBy("seed_id").count().where("count > 3").isEmpty()
 
 
+def test_no_table_grows_with_seeds_times_blocks(spark, monkeypatch):
+    for name, size in (("GROUP_ROWS", 20), ("BLOCK_ROWS", 4), ("LEAST_PARTS", 2)):
+        monkeypatch.setattr(topk, name, size)
+    written = []
+
+    def kept(df, name="table"):
+        written.append(cut(df, name))
+        return written[-1]
+
+    monkeypatch.setattr(topk, "cut", kept)
+    rng = np.random.default_rng(8)
+    rows = {i: rng.random(6) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "item_id bigint, features array<double>")
+    blocks = topk.Blocks.of(df, topk.FACTORS)
+    assert blocks.summaries.count() == 75
+    same(ranking(blocks.top(as_seeds(df), 4, True)), brute_force(rows, rows, lambda a, b: float(a @ b), 4, True))
+    # a seed's vector has 6 values; there are 2 or 3 parts and the lowest ids, and 75 blocks
+    for table in written:
+        if "seed_id" in table.columns:
+            for name in (n for n, kind in table.dtypes if kind.startswith("array")):
+                assert table.agg(F.max(F.size(name))).first()[0] <= 6
+
+
 def test_sparse_blocks_of_other_topics_are_not_read(spark, monkeypatch):
     for name, size in (("GROUP_ROWS", 50), ("BLOCK_ROWS", 20), ("PER_PIVOT", 10)):
         monkeypatch.setattr(topk, name, size)
