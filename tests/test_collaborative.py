@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import kindred.operators.collaborative as collaborative
 from kindred.operators.collaborative import (
     best_trial,
     explode_recommendations,
@@ -242,3 +243,22 @@ def test_word_vectors_go_once_to_a_block_of_texts(spark, monkeypatch, capsys):
     # counts meet vectors by block; no join puts a vector beside each count
     again.explain()
     assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
+
+
+def test_parts_of_a_fit_follow_the_ratings(spark, monkeypatch):
+    ratings = spark.range(3000).selectExpr(
+        "cast(id % 60 as int) userId", "cast((id * 7) % 50 as int) itemId", "cast(id % 5 + 1 as double) rating"
+    )
+    made = []
+
+    class Spy(collaborative.ALS):
+        def fit(self, train):
+            made.append((self.getNumUserBlocks(), self.getNumItemBlocks(), self.getCheckpointInterval()))
+            return super().fit(train)
+
+    monkeypatch.setattr(collaborative, "ALS", Spy)
+    known = collaborative.fit_als(ratings, rank=2, max_iter=2).userFactors.count()
+    # a task holds the ratings of a part and the factors they name
+    monkeypatch.setattr(collaborative, "BLOCK_RATINGS", 150, raising=False)
+    assert collaborative.fit_als(ratings, rank=2, max_iter=2).userFactors.count() == known
+    assert made == [(16, 16, 2), (20, 20, 1)]
