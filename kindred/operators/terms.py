@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.functions.text import first_and_last_term, term_tokens, unigrams_and_bigrams
 from kindred.operators.corpus import CHUNK, chunk_of
@@ -23,6 +28,9 @@ BROADCAST_TERMS = 500_000
 #: Into how many parts the texts of one part of the input are dealt.
 PARTS = 8
 
+#: Words that are counted at a time, or those of one item.
+COUNT_WORDS = 500_000
+
 
 def spread_by_item(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(item_id, text)`` with whole texts spread by item.
@@ -76,6 +84,70 @@ def term_counts(texts: DataFrame) -> DataFrame:
     return runs.select("item_id", F.inline(counted))
 
 
+def _counted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``(item_id, term, tf)`` of rows ``(item_id, lists of words)``; pairs are of neighbours in a list."""
+    ids, texts = batch.columns
+    inner = texts.flatten()
+    words = inner.flatten().dictionary_encode()
+    code, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary) + 1
+    text = np.repeat(np.arange(len(inner)), pc.list_value_length(inner).to_numpy())
+    item = np.repeat(np.arange(len(ids)), pc.list_value_length(texts).to_numpy())[text]
+    # item, word and next word in one number; n - 1 stands for no next word
+    alone = (item * n + code) * n
+    pairs = (alone[:-1] + code[1:])[text[1:] == text[:-1]]
+    keys, tf = np.unique(np.concatenate([alone + n - 1, pairs]), return_counts=True)
+    both, second = np.divmod(keys, n)
+    owner, first = np.divmod(both, n)
+    paired = second < n - 1
+
+    def rows(at: np.ndarray, terms: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(owner[at])), terms, pa.array(tf[at].astype(np.int64))], ["item_id", "term", "tf"]
+        )
+
+    def named(codes: np.ndarray) -> pa.Array:
+        return words.dictionary.take(pa.array(codes))
+
+    yield rows(~paired, named(first[~paired]))
+    yield rows(paired, pc.binary_join_element_wise(named(first[paired]), named(second[paired]), " "))
+
+
+def loose_counts(texts: DataFrame) -> DataFrame:
+    """The rows of :func:`term_counts` at a fraction of its cost, for uses that are not per item.
+
+    Words are found by Spark, and counted as numbers inside tasks, ``COUNT_WORDS`` at a time. Spark forgets by that how rows
+    are spread, so what goes on per item would move all terms again.
+    """
+    own = texts.groupBy("item_id").agg(F.collect_list("text").alias("_texts"))
+    tokens = own.select("item_id", F.transform("_texts", term_tokens).alias("_tokens"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            texts_until = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            words_until = np.append(0, np.cumsum(pc.list_value_length(lists.flatten()).to_numpy()))[texts_until]
+            begin = 0
+            while begin < batch.num_rows:
+                end = int(np.searchsorted(words_until, words_until[begin] + COUNT_WORDS, "right")) - 1
+                end = max(end, begin + 1)
+                yield from _counted(batch.slice(begin, end - begin))
+                begin = end
+
+    schema = T.StructType(
+        [texts.schema["item_id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]
+    )
+    return tokens.mapInArrow(work, schema)
+
+
+def known_counts(texts: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """The rows of :func:`term_counts` whose term is in ``known(term)``, at most ``most`` terms; others are never counted."""
+    terms = _terms(texts.select("item_id", term_tokens(F.col("text")).alias("_tokens")))
+    wanted = known.select("term")
+    if most <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    return terms.join(wanted, "term").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def segment_counts(
     segments: DataFrame, id_col: str, *, chunk: int = CHUNK
 ) -> DataFrame:

@@ -36,6 +36,8 @@ from kindred.operators.terms import (
     MIN_DOCUMENTS,
     TfidfModel,
     fit_tfidf,
+    known_counts,
+    loose_counts,
     segment_counts,
     spread_by_item,
     term_counts,
@@ -59,14 +61,19 @@ def _index(
     return TextIndex(model, cut(model.weigh(counts, items)))
 
 
-def light_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Term counts of one text per item after light cleaning.
+def light_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(item_id, text)`` after light cleaning, spread by item.
 
     Terms are runs of word characters, so turning all other characters into spaces
     first would not change them; only case and composition are left to do.
     """
     folded = texts.withColumn(text_col, compose_unicode(fold_case(as_text(F.col(text_col)))))
-    return term_counts(spread_by_item(folded, id_col, text_col))
+    return spread_by_item(folded, id_col, text_col)
+
+
+def light_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Term counts of one text per item after light cleaning."""
+    return term_counts(light_texts(texts, id_col, text_col))
 
 
 def index_texts(
@@ -76,9 +83,15 @@ def index_texts(
     max_features: int = FULL_CORPUS_FEATURES,
     min_df: int = MIN_DOCUMENTS,
 ) -> TextIndex:
-    """Index one text per item after light cleaning."""
+    """Index one text per item after light cleaning.
+
+    The vocabulary is fitted on the counts of all terms, vectors are made from those of its own.
+    """
     ids = items.select(F.col(id_col).alias("item_id"))
-    return _index(light_counts(items, id_col, text_col), ids, max_features, min_df)
+    texts = light_texts(items, id_col, text_col)
+    model = fit_tfidf(loose_counts(texts), ids, max_features, min_df)
+    counts = known_counts(texts, model.terms, max_features)
+    return TextIndex(model, cut(model.weigh(counts, ids)))
 
 
 def index_corpus(

@@ -189,6 +189,24 @@ def test_seeds_are_not_broadcast_and_move_once_to_a_part(spark, monkeypatch, cap
     assert wanted.where("_part >= 0").groupBy("seed_id").count().where("count > 3").isEmpty()
 
 
+def test_counts_made_in_other_ways_are_the_same(spark, monkeypatch):
+    import kindred.operators.terms as terms
+
+    rng = np.random.default_rng(9)
+    rows = [(i % 40, " ".join(rng.choice(WORDS + ["a", "ÀÉ", "x_1", "?!"], rng.integers(0, 9)))) for i in range(70)]
+    rows += [(50, ""), (51, None), (52, "!"), (None, "sun sea sun sea")]
+    texts = spread_by_item(spark.createDataFrame(rows, "item_id bigint, text string"), "item_id", "text")
+    expected = Counter(map(tuple, term_counts(texts).collect()))
+    for words in (7, 500_000):
+        monkeypatch.setattr(terms, "COUNT_WORDS", words)
+        assert Counter(map(tuple, terms.loose_counts(texts).collect())) == expected
+    known = {"sun", "sea", "sun sea", "nowhere"}
+    table = spark.createDataFrame([(t,) for t in known], "term string")
+    for most in (10, 10**9):
+        found = terms.known_counts(texts, table, most).select("item_id", "term", "tf").collect()
+        assert Counter(map(tuple, found)) == Counter({r: n for r, n in expected.items() if r[1] in known})
+
+
 def test_no_table_grows_with_seeds_times_blocks(spark, monkeypatch):
     for name, size in (("GROUP_ROWS", 20), ("BLOCK_ROWS", 4), ("LEAST_PARTS", 2)):
         monkeypatch.setattr(topk, name, size)
