@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,12 +62,13 @@ def together(texts: DataFrame, text_col: str, window: int = WINDOW, min_count: i
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
     )
+    # a word next to itself counts twice, once in each direction; all other pairs are two rows, so nothing is left to add up
+    itself = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), (F.col("n") * 2).alias("n")))
     both = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n")),
     )
-    # a word next to itself counts twice, once in each direction
-    return counted.select(F.inline(both)).groupBy("word", "other").agg(F.sum("n").alias("n"))
+    return counted.select(F.inline(F.when(F.col("a") == F.col("b"), itself).otherwise(both)))
 
 
 def signs(words: list[str], vector_size: int = VECTOR_SIZE) -> np.ndarray:
@@ -90,10 +91,11 @@ def _sums(keys: pa.Array, values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary, np.add.reduceat(values[order], first, axis=0)
 
 
-def _added_up(rows: DataFrame, key: str, values: Values) -> DataFrame:
+def _added_up(rows: DataFrame, key: str, values: Values, *, placed: bool = False) -> DataFrame:
     """``key`` and ``vector``, the sum of the rows' ``values``.
 
-    Rows are moved as they are, before they have values, which are many times their size. They come sorted by
+    Rows are moved as they are, before they have values, which are many times their size; rows that are ``placed``
+    have all of a key in one partition already. They come sorted by
     key, so a task holds one batch and one sum, however many rows a key has.
     """
     schema = T.StructType(
@@ -129,7 +131,7 @@ def _added_up(rows: DataFrame, key: str, values: Values) -> DataFrame:
         if open_sum is not None:
             yield batch_of(open_key, open_sum)
 
-    by_key = rows.repartition(key).sortWithinPartitions(key)
+    by_key = (rows if placed else rows.repartition(key)).sortWithinPartitions(key)
     return by_key.mapInArrow(partly, schema).mapInArrow(wholly, schema)
 
 
@@ -143,13 +145,12 @@ def fit_embedding(
 ) -> DataFrame:
     """``(word, vector array<bigint>)`` of all words with an association, in thousandths; written out."""
     met = cut(together(texts, text_col, window, min_count), "together")
-    alone = met.groupBy("word").agg(F.sum("n").alias("own"))
     total = met.agg(F.sum("n")).scalar()
-    others = alone.select(F.col("word").alias("other"), F.col("own").alias("its"))
     gain = F.log(F.col("n") * total.cast("double") / (F.col("own") * F.col("its").cast("double")))
+    # every pair is there in both directions, so a word's count is the sum on either side; by word last, where rows stay
     weighed = (
-        met.join(alone, "word")
-        .join(others, "other")
+        met.withColumn("its", F.sum("n").over(Window.partitionBy("other")))
+        .withColumn("own", F.sum("n").over(Window.partitionBy("word")))
         .select("word", "other", F.floor(gain * UNITS + 0.5).cast("bigint").alias("gain"))
         .filter("gain > 0")
     )
@@ -161,7 +162,7 @@ def fit_embedding(
         each = signs(other.dictionary.to_pylist(), vector_size)
         return each[other.indices.to_numpy()] * batch.column(2).to_numpy()[:, None]
 
-    return cut(_added_up(weighed, "word", signed), "word-vectors")
+    return cut(_added_up(weighed, "word", signed, placed=True), "word-vectors")
 
 
 def embed(words: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -20,7 +20,7 @@ from kindred.operators.collaborative import (
     recommend_for_all,
     rmse,
 )
-from kindred.operators.embeddings import embed, fit_embedding
+from kindred.operators.embeddings import embed, fit_embedding, together
 from kindred.operators.recommendations import (
     name_items,
     recommended_for_user,
@@ -225,6 +225,22 @@ def test_fits_delete_their_shuffles_and_sums_per_user_are_not_moved(spark, monke
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 4
 
 
+def test_pairs_of_words_are_moved_once_to_be_counted(spark, capsys):
+    rows = [(1, "sea sea sun"), (2, "sun sea pool sea"), (3, None), (4, "pool")]
+    texts = spark.createDataFrame(rows, "id bigint, text string")
+    met = together(texts, "text", 2, 1)
+    expected = Counter()
+    for _, text in rows:
+        words = (text or "").split()
+        for i, a in enumerate(words):
+            for b in words[i + 1 : i + 3]:
+                expected.update([(a, b), (b, a)])
+    assert {(r["word"], r["other"]): r["n"] for r in met.collect()} == expected
+    capsys.readouterr()
+    together(texts, "text", 2, 1).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+
+
 def test_word_vectors_go_once_to_a_block_of_texts(spark, monkeypatch, capsys):
     import kindred.operators.embeddings as embeddings
 
